@@ -44,6 +44,10 @@ SEED = 29
 #: there. A pair of the similarity sought shares fewer with a chance of about 1 in 10,000.
 BLOCK = 512
 SHARED = 39
+#: Buckets of more members are compared by WIDE turns of samples as well, of which a pair must share WIDE_SHARED (a pair
+#: of the similarity sought shares fewer with a chance of about 1 in 10,000), so that few pairs come to be verified.
+BIG = 24
+WIDE, WIDE_SHARED = 16, 0.755
 #: Elements whose samples are computed at a time.
 AT_ONCE = 16_384
 
@@ -140,13 +144,14 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2, 1, (samples, slots))).astype(np.float32)
         self.beta = rng.random((samples, slots), dtype=np.float32)
 
-    def __call__(self, owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """(n, samples) 64-bit values that are equal where samples agree; owners are sorted, each with an element."""
+    def __call__(self, owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, turn: int = 0) -> np.ndarray:
+        """(n, samples) 64-bit values that are equal where samples agree; owners are sorted, each with an element. Every
+        turn deals shingles to other slots and so gives samples of its own."""
         out = np.zeros((n, self.samples), dtype=np.uint64)
         if not len(h):
             return out
         log_w = np.log(weight).astype(np.float32)
-        slot = (h % np.uint64(self.slots)).astype(np.int64)
+        slot = ((mix64(h + np.uint64(turn << 52)) if turn else h) % np.uint64(self.slots)).astype(np.int64)
         starts = np.searchsorted(owner, np.arange(n + 1))
         best = np.full((n, self.samples), np.inf, dtype=np.float32)
         for a in range(0, len(h), AT_ONCE):
@@ -197,6 +202,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray,
     return source.mapInArrow(run, "id long, words binary, bands array<long>, samples binary")
 
 
+def wide_samples(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE, samples: int = BANDS * ROWS, turns: int = WIDE) -> DataFrame:
+    """id and `samples * turns` samples, a byte each, of the texts of ids."""
+
+    def run(batches):
+        shingles, sampler, cells = Shingles(shingle), Sampler(samples), np.uint64(len(weights))
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in _parts(texts):
+                owner, h, count, _ = shingles(texts[i:j])
+                w = count * weights[(h % cells).astype(np.int64)]
+                s = np.concatenate([(mix64(sampler(owner, h, w, j - i, t + 1)) >> np.uint64(56)).astype(np.uint8) for t in range(turns)], 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "wide"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
+
+
 def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
     """a, b and the exact weighted Jaccard similarity of their texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -243,26 +265,29 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
-def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
-    """Pairs a < b of one bucket (bucket, id, class) but different classes that share samples enough.
+def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shared: int = SHARED, wide_shared: float = WIDE_SHARED) -> DataFrame:
+    """Pairs a < b of one bucket (bucket, id, class) but different classes that share samples enough (id, samples, wide).
 
     A bucket's members are dealt to blocks; each pair of blocks is one group, so no task holds a whole bucket.
     """
-    rows = buckets.join(samples.select("id", "samples"), "id")
+    rows = buckets.join(samples.select("id", "samples", "wide"), "id")
     n = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(n, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("bucket", "id", "class", "samples", "own", other).select("bucket", "id", "class", "samples", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("bucket", "id", "class", "samples", "wide", "own", other).select("bucket", "id", "class", "samples", "wide", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         s = np.frombuffer(b"".join(pdf["samples"]), np.uint32).reshape(len(pdf), -1)
+        wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), -1) if pdf["wide"].notna().all() else None
         ids, cls, own = pdf["id"].to_numpy(), pdf["class"].to_numpy(), pdf["own"].to_numpy()
         out = []
         for x in range(len(pdf)):
             to = np.flatnonzero((own == (j if own[x] == i else i)) & (ids > ids[x]) & (cls != cls[x]))
             if len(to):
                 to = to[(s[to] == s[x]).sum(1) >= shared]
+                if wide is not None:
+                    to = to[(wide[to] == wide[x]).mean(1) >= wide_shared]
                 out.append(np.stack([np.full(len(to), ids[x]), ids[to]], 1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -288,7 +313,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(components(links), "near-classes")
     classed = keys.join(found, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
-    rest = second_look(classed.join(mixed.select("bucket"), "bucket"), reps)
+    mixed = written(classed.join(mixed.select("bucket", "n"), "bucket"), "near-mixed")
+    big, small = mixed.filter(F.col("n") > BIG).drop("n"), mixed.filter(F.col("n") <= BIG).drop("n")
+    samples = reps.select("id", "samples")
+    rest = second_look(small, samples.withColumn("wide", F.lit(None).cast("binary")))
+    if not big.isEmpty():
+        wide = written(wide_samples(docs, big.select("id").distinct(), id_col, text_col, weights, shingle, bands * rows), "near-wide")
+        rest = rest.union(second_look(big, samples.join(wide, "id"))).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
     more = written(similarities(rest, docs, id_col, text_col, weights, shingle).filter(F.col("similarity") >= similarity), "near-links")
     links = links.union(more)
