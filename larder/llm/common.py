@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 #: A word of the contracts: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A-Z to a-z and nothing else.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 #: Characters of text that one round of a Python operator holds as words at most (a longer text makes a round of its own).
 CHUNK_CHARS = 1_500_000
 MASK64 = (1 << 64) - 1
@@ -54,6 +52,11 @@ def fold(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
+def low_words(text: str | None) -> list[bytes]:
+    """The words of WORD with A-Z lower-cased, as UTF-8: bytes know no other letters and no other white space."""
+    return text.encode().lower().split() if text else []
+
+
 def rounds(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Slices of texts that hold about `most` characters each."""
     start = size = 0

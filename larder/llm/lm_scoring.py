@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, WORD, Codes, fold, map_file, map_texts, mix64, put_file, rounds, scratch, table, written
+from .common import Codes, fold, low_words, map_file, map_texts, mix64, put_file, rounds, scratch, table, written
 
 #: Bytes of input for each bucket of the hash arrays.
 BUCKET_BYTES = 6 << 20
 #: Tokens that a counting task gathers before it deals them out.
-FLUSH = 2_500_000
-END, START = "\n</s>", "\n<s>"
+FLUSH = 1_200_000
+END, START = b"\n</s>", b"\n<s>"
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
@@ -39,7 +39,7 @@ def _tokens(texts: list, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of each text's start, words and end, text after text, and how many each text has."""
     start, end, flat, n = codes[START], codes[END], [], []
     for t in texts:
-        words = WORD.findall(t.translate(LOWER_AZ)) if t else []
+        words = low_words(t)
         flat.append(start)
         flat.extend([codes[w] for w in words])
         flat.append(end)

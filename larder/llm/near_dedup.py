@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, WORD, Codes, mix64, rounds, table, written
+from .common import Codes, low_words, mix64, rounds, table, written
 
 #: Fixed parameters of the query.
 SHINGLE = 5
@@ -64,7 +64,7 @@ class Shingles:
         """Owner, hash (52 bits) and count of each distinct shingle, by owner and hash; the texts' word hashes as bytes."""
         codes, flat, n = Codes(), [], []
         for t in texts:
-            words = WORD.findall(t.translate(LOWER_AZ)) if t else []
+            words = low_words(t)
             flat.extend([codes[w] for w in words])
             n.append(len(words))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in codes.words), np.uint64, len(codes.words))[np.array(flat, dtype=np.int64)] if flat else np.empty(0, np.uint64)
