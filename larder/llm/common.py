@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -21,6 +22,24 @@ CHUNK_CHARS = 1_500_000
 MASK64 = (1 << 64) - 1
 
 
+#: Ids that may be broadcast to pick rows; beyond it rows are shuffled to them.
+BROADCAST_IDS = 1_000_000
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, since Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """ids, a written table, marked for broadcast if it has few enough rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +106,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable[[]
                 cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 arrays = cols + [pa.array(out[n], type=t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *types])
+        release()
 
     return source.mapInArrow(run, schema)
 

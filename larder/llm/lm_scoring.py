@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, fold, low_words, map_file, map_texts, mix64, put_file, rounds, scratch, table, written
+from .common import Codes, fold, low_words, map_file, map_texts, mix64, put_file, release, rounds, scratch, table, written
 
 #: Bytes of input for each bucket of the hash arrays.
 BUCKET_BYTES = 6 << 20
 #: Tokens that a counting task gathers before it deals them out.
-FLUSH = 1_200_000
+FLUSH = 1_000_000
 END, START = b"\n</s>", b"\n<s>"
 
 
@@ -192,6 +192,8 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -
                     codes, parts, held = Codes(), [], 0
         if held:
             yield flush()
+        codes, parts = None, None
+        release()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = key
@@ -210,6 +212,7 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -
             words2, sums2 = _summed(keys & np.uint64(0xFFFFFFFF), two)
             words, sums = _summed(np.concatenate([words, words2]), np.concatenate([sums, sums2]))
             rows += [("stat", b, k, v) for _, b, k, v in _dealt("stat", words, sums, buckets)]
+        release()
         return pd.DataFrame(rows, columns=["kind", "bucket", "keys", "values"])
 
     def merge_stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, low_words, mix64, rounds, table, written
+from .common import Codes, checked, low_words, mix64, release, rounds, table, written
 
 #: Fixed parameters of the query.
 SHINGLE = 5
@@ -49,7 +49,7 @@ SHARED = 39
 BIG = 24
 WIDE, WIDE_SHARED = 16, 0.755
 #: Elements whose samples are computed at a time.
-AT_ONCE = 16_384
+AT_ONCE = 2_048
 
 
 class Shingles:
@@ -139,38 +139,37 @@ class Sampler:
     def __init__(self, samples: int, slots: int = SLOTS):
         rng = np.random.default_rng(SEED)
         self.samples, self.slots = samples, slots
-        self.r = rng.gamma(2, 1, (samples, slots)).astype(np.float32)
-        self.inverse = 1 / self.r
-        self.log_c = np.log(rng.gamma(2, 1, (samples, slots))).astype(np.float32)
-        self.beta = rng.random((samples, slots), dtype=np.float32)
+        self.r = rng.gamma(2, 1, (slots, samples)).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2, 1, (slots, samples))).astype(np.float32)
+        self.beta = rng.random((slots, samples), dtype=np.float32)
 
     def __call__(self, owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, turn: int = 0) -> np.ndarray:
         """(n, samples) 64-bit values that are equal where samples agree; owners are sorted, each with an element. Every
         turn deals shingles to other slots and so gives samples of its own."""
         out = np.zeros((n, self.samples), dtype=np.uint64)
-        if not len(h):
-            return out
+        best = np.full((n, self.samples), np.inf, dtype=np.float32)
         log_w = np.log(weight).astype(np.float32)
         slot = ((mix64(h + np.uint64(turn << 52)) if turn else h) % np.uint64(self.slots)).astype(np.int64)
-        starts = np.searchsorted(owner, np.arange(n + 1))
-        best = np.full((n, self.samples), np.inf, dtype=np.float32)
         for a in range(0, len(h), AT_ONCE):
-            b = min(a + AT_ONCE, len(h))
-            own = slice(owner[a], owner[b - 1] + 1)
-            cuts = np.clip(starts[own.start : own.stop + 1], a, b) - a
-            for k in range(self.samples):
-                at = slot[a:b]
-                r = self.r[k].take(at)
-                t = np.floor(log_w[a:b] * self.inverse[k].take(at) + self.beta[k].take(at))
-                v = self.log_c[k].take(at) - r * (t - self.beta[k].take(at) + np.float32(1))
-                least = np.minimum.reduceat(v, cuts[:-1])
-                hit = np.flatnonzero(v == np.repeat(least, np.diff(cuts)))
-                who = owner[a:b][hit]
-                new, pick = np.unique(who, return_index=True)
-                hit, better = hit[pick], least < best[own, k]
-                new, hit = new[better], hit[better]
-                best[new, k] = v[hit]
-                out[new, k] = h[a:b][hit] * np.uint64(0x9E3779B97F4A7C15) + t[hit].astype(np.int64).astype(np.uint64)
+            at, own, key = slot[a : a + AT_ONCE], owner[a : a + AT_ONCE], h[a : a + AT_ONCE]
+            r, beta = self.r.take(at, 0), self.beta.take(at, 0)
+            t = log_w[a : a + AT_ONCE, None] / r
+            t += beta
+            np.floor(t, out=t)
+            v = t - beta
+            v += 1
+            v *= r
+            np.subtract(self.log_c.take(at, 0), v, out=v)
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            least = np.minimum.reduceat(v, first, axis=0)
+            v = v == np.repeat(least, np.diff(np.append(first, len(own))), axis=0)
+            row, k = np.divmod(np.flatnonzero(v)[::-1], self.samples)  # of equal elements the first is written last
+            who = own[row]
+            held = best[own[first]]
+            better = (least < held)[np.searchsorted(first, row, "right") - 1, k]
+            row, k, who = row[better], k[better], who[better]
+            best[own[first]] = np.minimum(held, least)
+            out[who, k] = key[row] * np.uint64(0x9E3779B97F4A7C15) + t[row, k].astype(np.int64).astype(np.uint64)
         return out
 
 
@@ -197,6 +196,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray,
                     [ids, pa.array([k for k in keys if k is not None], pa.binary()), pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * bands, band.ravel()), pa.array([x.tobytes() for x in (s >> np.uint64(32)).astype(np.uint32)], pa.binary())],
                     names=["id", "words", "bands", "samples"],
                 )
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
     return source.mapInArrow(run, "id long, words binary, bands array<long>, samples binary")
@@ -215,15 +215,15 @@ def wide_samples(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, we
                 s = np.concatenate([(mix64(sampler(owner, h, w, j - i, t + 1)) >> np.uint64(56)).astype(np.uint8) for t in range(turns)], 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "wide"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(checked(written(ids, "near-need")), "id", "left_semi")
     return texts.mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
 
 
 def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
     """a, b and the exact weighted Jaccard similarity of their texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(texts.join(need, "id", "left_semi"), "near-texts")
+    need = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-need")
+    texts = written(texts.join(checked(need), "id", "left_semi"), "near-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
     def run(batches):
@@ -270,14 +270,15 @@ def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shar
 
     A bucket's members are dealt to blocks; each pair of blocks is one group, so no task holds a whole bucket.
     """
-    rows = buckets.join(samples.select("id", "samples", "wide"), "id")
+    rows = buckets.join(samples.select("id", "samples", "bands", "wide"), "id")
     n = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(n, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("bucket", "id", "class", "samples", "wide", "own", other).select("bucket", "id", "class", "samples", "wide", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("bucket", "id", "class", "samples", "bands", "wide", "own", other).select("bucket", "id", "class", "samples", "bands", "wide", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        i, j, bucket = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["bucket"].iloc[0]
+        bands = np.stack(list(pdf["bands"]))
         s = np.frombuffer(b"".join(pdf["samples"]), np.uint32).reshape(len(pdf), -1)
         wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), -1) if pdf["wide"].notna().all() else None
         ids, cls, own = pdf["id"].to_numpy(), pdf["class"].to_numpy(), pdf["own"].to_numpy()
@@ -286,9 +287,12 @@ def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shar
             to = np.flatnonzero((own == (j if own[x] == i else i)) & (ids > ids[x]) & (cls != cls[x]))
             if len(to):
                 to = to[(s[to] == s[x]).sum(1) >= shared]
+                same = bands[to] == bands[x]
+                to = to[bands[x][same.argmax(1)] == bucket]  # in the first bucket that both are in
                 if wide is not None:
                     to = to[(wide[to] == wide[x]).mean(1) >= wide_shared]
                 out.append(np.stack([np.full(len(to), ids[x]), ids[to]], 1))
+        release()
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -315,7 +319,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
     mixed = written(classed.join(mixed.select("bucket", "n"), "bucket"), "near-mixed")
     big, small = mixed.filter(F.col("n") > BIG).drop("n"), mixed.filter(F.col("n") <= BIG).drop("n")
-    samples = reps.select("id", "samples")
+    samples = reps.select("id", "samples", "bands")
     rest = second_look(small, samples.withColumn("wide", F.lit(None).cast("binary")))
     if not big.isEmpty():
         wide = written(wide_samples(docs, big.select("id").distinct(), id_col, text_col, weights, shingle, bands * rows), "near-wide")
@@ -336,8 +340,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """The rows, with all their columns, but for documents that are not the smallest id of their class. Rows with a null
     id stay; of rows that repeat an id one stays."""
-    gone = near_classes(docs, id_col, **params).filter(F.col(id_col) != F.col("class_id")).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = written(near_classes(docs, id_col, **params).filter(F.col(id_col) != F.col("class_id")).select(id_col), "near-gone")
+    kept = docs.join(checked(gone), id_col, "left_anti").select(*docs.columns)
     twice = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
     if twice.isEmpty():
         return kept

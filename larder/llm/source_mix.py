@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import checked, table, written
 
 #: Fixed parameters of the query.
 WEIGHTS = (3, 1, 2)
@@ -77,7 +77,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFr
     with a null id take no part. A repeated id is mixed as often as it has rows."""
     plan = mix_sources(docs, id_col, **params)
     times = plan.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.col("epochs") + F.col("starts").cast("int")).cast("int").alias("__mix_times"))
-    out = docs.join(times.filter("__mix_times > 0"), docs[id_col] == F.col("__mix_id"))
+    out = docs.join(checked(written(times.filter("__mix_times > 0"), "mix-times")), docs[id_col] == F.col("__mix_id"))
     return out.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_turn")).drop("__mix_turn")
 
 
