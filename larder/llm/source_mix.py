@@ -23,7 +23,7 @@ SHARE = 1.5
 MOST = 2
 SEED = "mix"
 #: Rows of a source that a range of keys holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:
