@@ -21,9 +21,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _gather() -> None:
+    from . import relational, rollups  # noqa: F401  their functions register themselves
+
+
 def queries() -> dict[str, Callable]:
+    _gather()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _gather()
     return dict(_SQL)
