@@ -117,7 +117,7 @@ class Model:
     """Fitted on the driver from the bounded sample; small, and sent to the tasks with the function."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, k: int = NEIGHBOURS):
-        self.k, self.rate = k, (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.5
+        self.k, self.rate = k, (toxic.sum() + 0.1) / (len(toxic) + 1)
         counts = [terms(t) for t in texts]
         df, hit = Counter(), Counter()
         for c, y in zip(counts, toxic):
