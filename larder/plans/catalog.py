@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _gather() -> None:
-    from . import graphs, relational, rollups  # noqa: F401  their functions register themselves
+    from . import business, graphs, relational, rollups  # noqa: F401  their functions register themselves
 
 
 def queries() -> dict[str, Callable]:
