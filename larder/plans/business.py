@@ -126,3 +126,45 @@ def m18(spark, d):
     share = lambda key: c("n") / F.sum("n").over(W.partitionBy(key))
     n = n.withColumn("score", F.round(money.medoid_score(share("p_name"), share("p_brand"), c("n")), 9))
     return windows.top_per_group(n, ["p_brand"], [c("score").desc(), c("p_name")]).select("p_brand", "p_name")
+
+
+@query("q6_weekly_basket", f"""WITH need AS (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag <> 'R') AS want, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS have, min({_UNIT}) AS cents FROM lineitem GROUP BY 1)
+    SELECT l_partkey, CAST(greatest(0, coalesce(want, 0) - coalesce(have, 0)) AS BIGINT) AS short, CAST(ceil(greatest(0, coalesce(want, 0) - coalesce(have, 0)) / p_size) AS BIGINT) AS packages, CAST(ceil(greatest(0, coalesce(want, 0) - coalesce(have, 0)) / p_size) * cents AS BIGINT) AS cost_cents FROM need JOIN part ON p_partkey = l_partkey""")
+def q6(spark, d):
+    """Demand less stock, in whole packages at the best price; nothing is bought where stock covers the demand."""
+    n, q = c("l_returnflag") == "R", c("l_quantity").cast("long")
+    zero = F.lit(0).cast("long")
+    g = t(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_quantity", _unit()).groupBy("l_partkey").agg(F.sum(F.when(~n, q).otherwise(zero)).alias("want"), F.sum(F.when(n, q).otherwise(zero)).alias("have"), F.min("unit_cents").alias("cents"))
+    g = g.join(t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").withColumn("short", F.greatest(zero, c("want") - c("have")))
+    g = g.withColumn("packages", F.ceil(F.try_divide(c("short"), c("p_size"))).cast("long"))
+    return g.select("l_partkey", "short", "packages", (c("packages") * c("cents")).alias("cost_cents"))
+
+
+@query("ag21_pair_rollup", "SELECT CAST(ts AS DATE) AS day, user_id, event_type, count(*) AS event_count, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2, 3")
+def ag21(spark, d):
+    return t(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "user_id", "event_type").agg(F.count("*").alias("event_count"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("ag23_sensitive_pairs", "SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2 HAVING count(*) >= 5")
+def ag23(spark, d):
+    return t(spark, d, "events").filter(c("ts") >= F.expr("timestamp_ntz '2024-01-10'")).groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n >= 5")
+
+
+@query("st4_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def st4(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_type", "event_id")
+    return windows.top_per_group(e, ["user_id", "event_type"], [c("event_id")])
+
+
+@query("st6_common_words", "SELECT p_brand, string_agg(w, ' ' ORDER BY w) AS words FROM (SELECT p_brand, w FROM (SELECT DISTINCT p_brand, p_name, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_brand, w HAVING count(DISTINCT p_name) >= 2) GROUP BY p_brand")
+def st6(spark, d):
+    """Words that two or more of a brand's names have."""
+    w = t(spark, d, "part").select("p_brand", "p_name").distinct().select("p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    common = w.groupBy("p_brand", "w").agg(F.count("*").alias("n")).filter("n >= 2")
+    return common.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("w")), " ").alias("words"))
+
+
+@query("sr8_nulls_last", "SELECT doc_id, quality FROM (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) ORDER BY quality ASC NULLS LAST, doc_id LIMIT 50")
+def sr8(spark, d):
+    x = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return windows.page(x, [c("quality").asc_nulls_last(), c("doc_id")], 0, 50)
