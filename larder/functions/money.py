@@ -60,3 +60,16 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def week_start(day: Column, first: int = 1) -> Column:
     """The week's first day; first: 0 Sunday to 6 Saturday."""
     return F.date_sub(day, F.pmod(F.dayofweek(day) - 1 - first, F.lit(7)))
+
+
+def iso_week(day: Column) -> Column:
+    """ISO year and week, as 202401."""
+    return (F.extract(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day)).cast("int")
+
+
+def plan_week(day: Column) -> Column:
+    """The day's year and its week from Monday, as 202401; the first week holds January 1, so a late December day may
+    carry week 1 of its own year."""
+    first = lambda year: week_start(F.make_date(year, F.lit(1), F.lit(1)))
+    week = F.floor(F.datediff(week_start(day), first(F.year(day))) / 7) + 1
+    return (F.year(day) * 100 + F.when(first(F.year(day) + 1) == week_start(day), 1).otherwise(week)).cast("int")
