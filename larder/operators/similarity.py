@@ -183,3 +183,40 @@ def traffic_split(variants: DataFrame, experiment: str, seed: int, least_exposur
 
     kind = dict(variants.dtypes)
     return variants.select(experiment, "variant", "exposures", "conversions").groupBy(experiment).applyInPandas(split, f"`{experiment}` {kind[experiment]}, variant {kind['variant']}, percent int")
+
+
+def rerank(candidates: DataFrame, forms: list[str], best: int = 1) -> DataFrame:
+    """The best candidates of each query above the cosine floor, by the second ranking, with columns score and place.
+
+    candidates: query, query_category, candidate, candidate_category, cosine. Ties go to the larger cosine, then the name."""
+    x = candidates.filter(c("cosine") >= matching.COSINE_FLOOR)
+    x = x.withColumn("score", F.round(matching.rerank_score(c("query"), c("candidate"), c("cosine"), c("query_category"), c("candidate_category"), forms), 9))
+    return top_per_group(x, ["query"], [c("score").desc(), c("cosine").desc(), c("candidate")], best, "place")
+
+
+def weighted_word_similarity(pairs: DataFrame, a: str, b: str, words: DataFrame, total: int) -> DataFrame:
+    """pairs with `similarity`: inverse document frequency of common words, of that of all their words.
+
+    words: word, df (documents that have it), joined by word; an unknown word counts as one that a single document of
+    `total` has. Pairs without words get 0."""
+    u, v = F.array_distinct(text.tokens(c(a))), F.array_distinct(text.tokens(c(b)))
+    x = pairs.select(a, b).distinct().withColumn("shared", F.array_intersect(u, v)).select(a, b, "shared", F.explode(F.array_union(u, v)).alias("word"))
+    idf = F.log(F.lit(total + 1.0) / (F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)) + 1))
+    x = x.join(words.select("word", "df"), "word", "left").select(a, b, F.array_contains("shared", c("word")).alias("both"), idf.alias("idf"))
+    s = x.groupBy(a, b).agg(F.try_divide(F.sum(F.when(c("both"), c("idf")).otherwise(0.0)), F.sum("idf")).alias("similarity"))
+    return pairs.join(s, [a, b], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
+def collocations(texts: DataFrame, column: str, least_df: int = 5, least_joint: int = 3) -> DataFrame:
+    """a, b, joint, ppmi: neighbouring words that occur together more often than by chance. Words are split at blanks."""
+    w = F.filter(F.split(F.lower(column), " "), lambda x: x != "")
+    x = texts.filter(c(column).isNotNull()).select(w.alias("w"))
+    n = x.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    joint = x.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("joint"))
+    sums = n.agg(F.sum("n").alias("all_words")).join(joint.agg(F.sum("joint").alias("all_pairs")), F.lit(True))
+    often = n.filter(c("n") >= least_df)
+    y = joint.filter(c("joint") >= least_joint).join(often.select(c("word").alias("a"), c("n").alias("na")), "a").join(often.select(c("word").alias("b"), c("n").alias("nb")), "b")
+    y = y.join(F.broadcast(sums), F.lit(True))
+    ratio = (c("joint") / c("all_pairs")) / ((c("na") / c("all_words")) * (c("nb") / c("all_words")))
+    return y.select("a", "b", "joint", F.round(F.greatest(F.lit(0.0), F.log(ratio)), 6).alias("ppmi"))

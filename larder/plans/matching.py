@@ -174,3 +174,35 @@ def ex1(spark, d):
     """One experiment per order status with priorities as variants; large orders are conversions."""
     v = t(spark, d, "orders").groupBy(c("o_orderstatus").alias("experiment"), c("o_orderpriority").alias("variant")).agg(F.count("*").alias("exposures"), F.count_if(c("o_totalprice") > 250000).alias("conversions"))
     return similarity.traffic_split(v, "experiment", 7)
+
+
+@query("s31_retail_suffix", "SELECT p_partkey, CASE WHEN p_size % 4 < 3 THEN p_name END AS name FROM part")
+def s31(spark, d):
+    """Shop titles made from names, and the names found again; the last kind has nothing to strip."""
+    s = c("p_size").cast("string")
+    title = F.element_at(F.array(F.concat("p_name", F.lit(", "), s, F.lit(" oz Bag")), F.concat("p_name", F.lit(" "), s, F.lit("oz")), F.concat_ws(" ", "p_name", s, F.lit("ct"), F.lit("2 pack")), F.concat("p_name", F.lit(" soup"))), (c("p_size") % 4 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", matching.without_retail_suffix(title).alias("name"))
+
+
+@query("s22_store_parent", "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'kroger' WHEN 1 THEN 'aholddelhaize' WHEN 2 THEN 'traderjoes' WHEN 3 THEN 'independent' WHEN 4 THEN NULL ELSE 'heb' END AS parent FROM supplier")
+def s22(spark, d):
+    names = F.array(*map(F.lit, ["Fry's No. ", "STOP & SHOP #", "Trader Joe’s ", "Corner Deli ", "Old School ", "H-E-B "]))
+    return t(spark, d, "supplier").select("s_suppkey", matching.store_parent(F.concat(F.element_at(names, (c("s_suppkey") % 6 + 1).cast("int")), F.lit("x"))).alias("parent"))
+
+
+@query("m14_collocations", """WITH t AS (SELECT string_split(trim(regexp_replace(lower(text), ' +', ' ', 'g'), ' '), ' ') AS w FROM conversations WHERE trim(text, ' ') <> ''), n AS (SELECT word, count(*)::DOUBLE AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY 1),
+    j AS (SELECT a, b, count(*) AS joint FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t)) GROUP BY 1, 2), s AS (SELECT (SELECT sum(n) FROM n)::DOUBLE AS aw, (SELECT sum(joint) FROM j)::DOUBLE AS ap)
+    SELECT a, b, joint, round(greatest(0::DOUBLE, ln((joint / ap) / ((x.n / aw) * (y.n / aw)))), 6) AS ppmi FROM j JOIN n x ON x.word = a AND x.n >= 5 JOIN n y ON y.word = b AND y.n >= 5, s WHERE joint >= 3""")
+def m14_collocations(spark, d):
+    return similarity.collocations(t(spark, d, "conversations"), "text")
+
+
+@query("s14_weighted_similarity", f"""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS word FROM n) GROUP BY 1), i AS (SELECT word, ln(((SELECT count(*) FROM n) + 1.0::DOUBLE) / (df + 1)) AS idf FROM w), p AS (SELECT p_name, split_part(p_name, ' ', 1) AS x, {_NOUN} AS y FROM n)
+    SELECT a.p_name AS a, b.p_name AS b, round((CASE WHEN a.x = b.x THEN ax.idf ELSE ay.idf END) / (ax.idf + ay.idf + CASE WHEN a.x = b.x THEN bz.idf ELSE bx.idf END), 6) AS similarity FROM p a JOIN p b ON a.p_name < b.p_name AND (a.x = b.x OR a.y = b.y) JOIN i ax ON ax.word = a.x JOIN i ay ON ay.word = a.y JOIN i bx ON bx.word = b.x JOIN i bz ON bz.word = b.y""")
+def s14(spark, d):
+    """Names with a common word, by the weight of what they share."""
+    n = _named(spark, d).select("p_name")
+    w = n.select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    pairs = w.select(c("p_name").alias("a"), "word").join(w.select(c("p_name").alias("b"), "word"), "word").filter("a < b").select("a", "b").distinct()
+    out = similarity.weighted_word_similarity(pairs, "a", "b", w.groupBy("word").agg(F.count("*").alias("df")), n.count())
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))

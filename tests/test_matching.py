@@ -137,3 +137,24 @@ def test_learned_modifiers(spark):
     rows = [("smoked paprika", "paprika", 9), ("red wine", "wine", 2), ("red rice wine", "wine", 2), ("old wine", "wine", 1), ("wine", "wine", 50), ("", "x", 3), (None, None, None)]
     out = similarity.learned_modifiers(spark.createDataFrame(rows, "a string, b string, n long"), "a", "b", "n").collect()
     assert {tuple(r) for r in out} == {("paprika", "smoked", 9, 1), ("wine", "red", 4, 2)}
+
+
+def test_rerank(spark):
+    rows = [("fresh bocconcini mozzarella, sliced", "bocconcini mozzarella", 0.83), ("fresh bocconcini mozzarella, sliced", "Low-Moisture Part-Skim Mozzarella String Cheese", 0.87), ("fresh basil leaves", "basil", 0.82), ("fresh basil leaves", "Italian Whole Peeled Tomatoes with Basil Leaf", 0.87)]
+    rows += [("olive oil, plus more", "olive oil", 0.84), ("olive oil, plus more", "Lightly Smoked Sardines in Olive Oil 4.25 Oz", 0.89), ("far", "away", 0.7)]
+    df = spark.createDataFrame([(q, None, x, "c", s) for q, x, s in rows], "query string, query_category string, candidate string, candidate_category string, cosine double")
+    assert {(r.query.split()[1], r.candidate) for r in similarity.rerank(df, ["leaf", "leaves", "paste"]).collect()} == {("bocconcini", "bocconcini mozzarella"), ("basil", "basil"), ("oil,", "olive oil")}
+
+
+def test_weighted_words(spark):
+    words = spark.createDataFrame([("oil", 9), ("olive", 1)], "word string, df long")
+    df = spark.createDataFrame([("olive oil", "olive oil"), ("olive oil", "corn oil"), ("", None)], "a string, b string")
+    got = sorted(r.similarity for r in similarity.weighted_word_similarity(df, "a", "b", words, 9).collect())
+    assert np.allclose(got, [0, np.log(10 / 10) / (2 * np.log(10 / 2)), 1])
+
+
+def test_shop_names(spark):
+    cut = lambda x: matching.without_retail_suffix(F.lit(x).cast("string"))
+    assert one(spark, cut("minute maid lemonade 2 liter"), cut("milk"), cut("2 oz"), cut(None), cut("canned beans 15oz can"), cut("N/A 2 ct")) == ("minute maid lemonade", None, None, None, "canned beans", None)
+    of = lambda x: matching.store_parent(F.lit(x).cast("string"))
+    assert one(spark, of("Pick 'n Save"), of("Smart & Final"), of("Hardware Market"), of("Joe's Produce"), of("Gym"), of(None), of("SAMSCLUB")) == ("kroger", "smartandfinal", None, "independent", None, None, "samsclub")
