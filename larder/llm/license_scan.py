@@ -1,8 +1,9 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 Each rule is a hand-written regular expression over the text's normalised words, a keyword that gates it, a label, a
-priority and a score. A rule's expression runs only in a text that contains its keyword. Hits are intervals of
-characters; a hit that lies inside another hit of the same or a higher priority is suppressed.
+priority and a score. A rule's expression runs only in a text that contains its keyword, which every match of it
+contains. Hits are intervals of characters; a hit that lies inside another hit of the same or a higher priority is
+suppressed.
 
 Defined results: null counts as an empty text, which has no words and no hits. Rows are judged one by one, repeated or
 not; other columns are not looked at.
@@ -10,6 +11,8 @@ not; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +20,28 @@ from pyspark.sql import functions as F
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 _LIC = "(?:license|licence|licenses|licences)"
-#: Fixed values, written by hand: label, gating keyword, the licence's names, the identifiers of its short form.
+#: Fixed values, written by hand: label, keyword that is part of every name, the licence's names, the identifiers of its
+#: short form (none where another row of the label has them).
 NAMES = (
-    ("mit", "mit", "mit|mit x11|expat", "mit"),
+    ("mit", "mit", "mit|mit x11", "mit"),
+    ("mit", "expat", "expat", ""),
     ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
     ("apache-1.1", "apache", "apache software license(?: version)? 1 1|apache 1 1", "apache 1 1"),
-    ("apache-2", "apache", "apache(?: software)? license(?: version)? 2(?: 0)?|apache(?: version)? 2(?: 0)?|asl 2 0", "apache 2 0"),
+    ("apache-2", "apache", "apache(?: software)? license(?: version)? 2(?: 0)?|apache(?: version)? 2(?: 0)?", "apache 2 0"),
+    ("apache-2", "asl 2 0", "asl 2 0", ""),
     ("bsd-2-clause", "bsd", "simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "original bsd|bsd 4 clause|4 clause bsd", "bsd 4 clause"),
     ("0bsd", "bsd", "zero clause bsd|0bsd|bsd zero clause", "0bsd"),
-    ("isc", "isc", "isc|internet systems consortium", "isc"),
+    ("isc", "isc", "isc", "isc"),
+    ("isc", "internet systems", "internet systems consortium", ""),
     ("gpl-1", "gpl", "gplv1|gpl(?: version| v)? 1(?: 0)?", "gpl 1 0(?: only| or later)?"),
     ("gpl-2", "gpl", "gplv2|gpl(?: version| v)? 2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3", "gpl", "gplv3|gpl(?: version| v)? 3(?: 0)?", "gpl 3 0(?: only| or later)?"),
     ("gpl-2", "gnu general", "gnu general public license(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?", "gnu gpl 2 0"),
     ("gpl-3", "gnu general", "gnu general public license(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?", "gnu gpl 3 0"),
-    ("gpl", "gnu general", "gnu general public license|gnu gpl", "gnu gpl"),
+    ("gpl", "gnu general", "gnu general public license", "gnu gpl"),
+    ("gpl", "gnu gpl", "gnu gpl", ""),
     ("lgpl-2.1", "lgpl", "lgplv2 1|lgpl(?: version| v)? 2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3", "lgpl", "lgplv3|lgpl(?: version| v)? 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
     ("lgpl-2.1", "gnu lesser", "gnu lesser general public license(?: version| v)? 2 1", "gnu lgpl 2 1"),
@@ -114,7 +122,13 @@ GATES = ("licen", "spdx", "cc by", "under", "subject to", "hereby granted", "per
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, expression, priority, score): the contexts over the names, the notices, the base phrases."""
-    made = [(label, key, text.format(names=names, ids=ids), priority, score) for label, key, names, ids in NAMES for text, priority, score in CONTEXTS]
+    made = []
+    for label, key, names, ids in NAMES:
+        for text, priority, score in CONTEXTS:
+            if "{ids}" not in text:
+                made.append((label, key, text.format(names=names), priority, score))
+            elif ids:  # gated by the context and the identifier up to its first choice
+                made.append((label, text.split("(?:")[0] + re.match("[a-z0-9 ]*", ids)[0], text.format(ids=ids), priority, score))
     made += [(label, "cc by nc" if "nc" in label else "cc by", f"(?:{names})", 10, 0.6) for label, key, names, _ in NAMES if key.startswith("cc by")]
     return made + list(NOTICES) + [(label, phrase, phrase, 35, 0.9) for phrase, label in BASE]
 

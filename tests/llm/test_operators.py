@@ -107,6 +107,39 @@ def test_license_suppression(spark):
     assert "cc-by-nc-sa" in out[3].labels and out[3].base_labels == "cc-by-nc"
 
 
+def examples(parsed):
+    """A text for every choice of an expression: all branches and listed letters, optional parts with and without."""
+    out = [""]
+    for op, v in parsed:
+        if str(op) == "LITERAL":
+            here = [chr(v)]
+        elif str(op) == "IN":
+            here = [chr(x) if str(o) == "LITERAL" else chr(x[0]) if str(o) == "RANGE" else "2" if "DIGIT" in str(x) and "NOT" not in str(x) else "x" for o, x in v]
+        elif str(op) == "BRANCH":
+            here = [t for branch in v[1] for t in examples(branch)]
+        elif str(op) == "SUBPATTERN":
+            here = examples(v[-1])
+        else:
+            assert str(op) == "MAX_REPEAT"
+            here = [""] * (v[0] == 0) + examples(v[2])
+        out = [a + b for a in out for b in here]
+    return out
+
+
+def test_license_gates():
+    for label, key, expr, _, _ in license_scan.rules():
+        for text in examples(re._parser.parse(expr)):
+            assert re.fullmatch(expr, text) and key in f" {text} " and any(g in f" {text} " for g in license_scan.GATES), (label, key, text)
+
+
+def test_license_names_without_the_usual_word(spark):
+    want = {"released under the GNU GPL": "gpl", "Expat License": "mit", "under ASL 2.0": "apache-2", "Internet Systems Consortium license": "isc"}
+    spdx = "EPL-1.0 epl-1|EPL-2.0 epl-2|MPL-1.1 mpl-1.1|CDDL-1.0 cddl|BSL-1.0 bsl-1|OFL-1.1 ofl-1.1|ODbL-1.0 odbl|GFDL-1.3 gfdl|Python-2.0 python-2|EUPL-1.2 eupl|SSPL-1.0 sspl-1|BUSL-1.1 busl-1.1|CPL-1.0 cpl-1|EDL-1.0 edl-1"
+    want |= {f"SPDX-License-Identifier: {x.split()[0]}": x.split()[1] for x in spdx.split("|")}
+    df = spark.createDataFrame(list(want), "string").selectExpr("value as doc_id", "value as text")
+    assert {r.doc_id: r.labels for r in license_scan.scan_licenses(df).collect()} == want
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "https://example.org/en/1", "http://x.com/de/1", "http://notcom/de/", "a://b://c/d", "http://fr.com/fr/9#z", "http://org.example.org?x"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as n", "'h' as rule")
