@@ -62,14 +62,17 @@ def _strength(groups: DataFrame, n: str, k: str) -> float:
     return min(max(1 / rho - 1, STRENGTH[0]), STRENGTH[1]) if rho > 0 else STRENGTH[1]
 
 
-def host_reputation(outcomes: DataFrame, url_col: str = "url", bad_col: str = "bad", z: float = Z) -> DataFrame:
-    """host, domain, suffix, n, k (labelled pages, bad ones), mean and lower and upper bound of each labelled host's bad rate.
+def host_reputation(outcomes: DataFrame, url_col: str = "url", bad_col: str = "bad", z: float = Z, pages: DataFrame | None = None) -> DataFrame:
+    """host, domain, suffix, n, k (labelled pages, bad ones), mean and lower and upper bound of the bad rate of each host of outcomes and pages.
 
+    A host without labelled pages has n = k = 0, so its mean is that of its domain, else of its suffix, else of all.
     Counts are summed per host first, so domains and suffixes are summed over hosts, not pages.
     """
     host, _ = split_url(F.col(url_col))
-    bad = F.col(bad_col).cast("boolean")
-    hosts = outcomes.filter(bad.isNotNull()).groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count_if(bad).alias("k"))
+    seen = outcomes.select(host.alias("host"), F.col(bad_col).cast("boolean").alias("bad"))
+    if pages is not None:
+        seen = seen.union(pages.select(host.alias("host"), F.lit(None).cast("boolean").alias("bad")))
+    hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("k"))
     hosts = hosts.select("host", registered_domain(F.col("host")).alias("domain"), public_suffix(F.col("host")).alias("suffix"), "n", "k")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
@@ -84,13 +87,13 @@ def host_reputation(outcomes: DataFrame, url_col: str = "url", bad_col: str = "b
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_col: str = "bad", rules=RULES, max_bad_rate: float = MAX_BAD_RATE, z: float = Z) -> DataFrame:
-    """id, host, path, rule, verdict, host_n, host_bad per row of pages. A host without outcomes is allowed: its bound rests on priors alone."""
+    """id, host, path, rule, verdict, host_n, host_bad per row of pages. The bound of a host without outcomes is that of its prior."""
     host, path = split_url(F.col(url_col))
     df = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     df = df.withColumn("__r", rule_for(F.col("host"), F.col("path"), rules))
-    rep = host_reputation(outcomes, url_col, bad_col, z).select("host", "n", "k", "lower")
-    verdict = F.coalesce(F.col("__r.verdict"), F.when(F.coalesce(F.col("lower") > max_bad_rate, F.lit(False)), "block").otherwise("allow"))
-    return df.join(rep, "host", "left").select(id_col, "host", "path", F.col("__r.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("n", F.lit(0)).alias("host_n"), F.coalesce("k", F.lit(0)).alias("host_bad"))
+    rep = host_reputation(outcomes, url_col, bad_col, z, pages).select("host", "n", "k", "lower")
+    verdict = F.coalesce(F.col("__r.verdict"), F.when(F.col("lower") > max_bad_rate, "block").otherwise("allow"))
+    return df.join(rep, "host").select(id_col, "host", "path", F.col("__r.rule").alias("rule"), verdict.alias("verdict"), F.col("n").alias("host_n"), F.col("k").alias("host_bad"))
 
 
 def page_outcomes(spark, sf_dir: str) -> DataFrame:

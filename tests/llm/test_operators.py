@@ -151,6 +151,21 @@ def test_url_filter(spark):
     assert got["bad.test"] == "block" and got["good1.test"] == "allow"
 
 
+def test_url_filter_hosts_without_outcomes(spark):
+    rates = {"bad.test": 9, "good.test": 0}
+    seen = [(f"http://h{h}.{d}/{i}", i < n or h == 0 and i < 2) for d, n in rates.items() for h in range(12) for i in range(10)]
+    outcomes = spark.createDataFrame(seen + [("http://odd.test", None)], "url string, bad boolean")
+    urls = ["http://new.bad.test/", "http://new.good.test/", "http://other.test/", "http://far.away/", "http://odd.test", "http://h1.bad.test/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.host: (r.verdict, r.host_n, r.host_bad) for r in url_filter.filter_urls(pages, outcomes).collect()}
+    assert got["new.bad.test"] == ("block", 0, 0) and got["new.good.test"] == ("allow", 0, 0) and got["h1.bad.test"] == ("block", 10, 9) and len(got) == 6
+    rep = {r.host: r for r in url_filter.host_reputation(outcomes, pages=pages).collect()}
+    old = {r.host: r for r in url_filter.host_reputation(outcomes).collect()}
+    assert all(abs(rep[h].lower - r.lower) < 1e-12 for h, r in old.items())  # hosts without outcomes move no prior
+    total = (sum(b for _, b in seen) + 0.5) / (len(seen) + 1)
+    assert abs(rep["far.away"].mean - total) < 1e-12 and rep["new.bad.test"].mean > 0.8 and rep["other.test"].n == rep["odd.test"].n == 0
+
+
 def test_language_id(odd, docs):
     crf = language_id.fit(odd)
     out = {r.doc_id: r for r in language_id.identify(odd, crf).collect()}
