@@ -21,8 +21,18 @@ def _unit():
 @query("q1_pricing", f"""SELECT c_mktsegment, l_partkey, s_nationkey, n_offers, best_cents FROM (SELECT c_mktsegment, s_nationkey FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS s_nationkey FROM customer WHERE c_acctbal > 9500)) u JOIN
     (SELECT l_partkey, s_nationkey, count(*) AS n_offers, min({_UNIT}) AS best_cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) USING (s_nationkey)""")
 def q1(spark, d):
+    return _pricing(spark, d, t(spark, d, "customer").filter("c_acctbal > 9500"))
+
+
+@query("q1_pricing_all", f"""SELECT c_mktsegment, l_partkey, s_nationkey, n_offers, best_cents FROM (SELECT c_mktsegment, s_nationkey FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS s_nationkey FROM customer)) u JOIN
+    (SELECT l_partkey, s_nationkey, count(*) AS n_offers, min({_UNIT}) AS best_cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) USING (s_nationkey)""")
+def q1_all(spark, d):
+    return _pricing(spark, d, t(spark, d, "customer"))
+
+
+def _pricing(spark, d, users):
     """Per user group the offers of its preferred banners: an equi-join on the banner, offers summed up before it."""
-    u = t(spark, d, "customer").filter("c_acctbal > 9500").select("c_mktsegment", c("c_nationkey").alias("s_nationkey")).distinct()
+    u = users.select("c_mktsegment", c("c_nationkey").alias("s_nationkey")).distinct()
     s = t(spark, d, "supplier").select(c("s_suppkey").alias("l_suppkey"), "s_nationkey")
     o = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", _unit()).join(s, "l_suppkey").groupBy("l_partkey", "s_nationkey").agg(F.count("*").alias("n_offers"), F.min("unit_cents").alias("best_cents"))
     return u.join(o, "s_nationkey").select("c_mktsegment", "l_partkey", "s_nationkey", "n_offers", "best_cents")

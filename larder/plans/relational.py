@@ -143,9 +143,19 @@ def jn3(spark, d):
 @query("jn6_gaps", """SELECT n_nationkey, p_brand FROM nation, (SELECT DISTINCT p_brand FROM part) b WHERE NOT EXISTS
     (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey AND part.p_brand = b.p_brand AND l_quantity >= 48)""")
 def jn6(spark, d):
+    return _gaps(spark, d, t(spark, d, "lineitem").filter("l_quantity >= 48"))
+
+
+@query("jn6_gaps_all", """SELECT n_nationkey, p_brand FROM nation, (SELECT DISTINCT p_brand FROM part) b WHERE NOT EXISTS
+    (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey AND part.p_brand = b.p_brand)""")
+def jn6_all(spark, d):
+    return _gaps(spark, d, t(spark, d, "lineitem"))
+
+
+def _gaps(spark, d, offers):
     """Required pairs without an offer: two dimensions of fixed size crossed, less the pairs that occur."""
     want = t(spark, d, "nation").select("n_nationkey").join(t(spark, d, "part").select("p_brand").distinct(), F.lit(True))
-    have = t(spark, d, "lineitem").filter("l_quantity >= 48").select("l_partkey", "l_suppkey")
+    have = offers.select("l_partkey", "l_suppkey")
     have = have.join(t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").join(t(spark, d, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("n_nationkey")), "l_suppkey")
     return want.join(have.select("n_nationkey", "p_brand").distinct(), ["n_nationkey", "p_brand"], "left_anti")
 
@@ -241,5 +251,14 @@ def st5(spark, d):
 
 @query("st7_dedupe_key", "SELECT DISTINCT CASE WHEN l_suppkey > 0 THEN l_suppkey || '|' || l_partkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT) END AS key FROM lineitem WHERE l_quantity = 1")
 def st7(spark, d):
+    return _dedupe_keys(t(spark, d, "lineitem").filter("l_quantity = 1"))
+
+
+@query("st7_dedupe_key_all", "SELECT DISTINCT CASE WHEN l_suppkey > 0 THEN l_suppkey || '|' || l_partkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT) END AS key FROM lineitem")
+def st7_all(spark, d):
+    return _dedupe_keys(t(spark, d, "lineitem"))
+
+
+def _dedupe_keys(offers):
     key = F.when(c("l_suppkey") > 0, F.concat_ws("|", c("l_suppkey").cast("string"), c("l_partkey").cast("string"), money.cents(c("l_extendedprice")).cast("string")))
-    return t(spark, d, "lineitem").filter("l_quantity = 1").select(key.alias("key")).distinct()
+    return offers.select(key.alias("key")).distinct()

@@ -17,8 +17,18 @@ _NOW = "TIMESTAMP '2024-01-31'"
 @query("q2_pricing_gaps", """WITH u AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000), need AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
     offer AS (SELECT DISTINCT s_nationkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT c_custkey, l_partkey FROM u JOIN need ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM offer WHERE s_nationkey = c_nationkey AND offer.l_partkey = need.l_partkey)""")
 def q2(spark, d):
+    return _pricing_gaps(spark, d, t(spark, d, "customer").filter("c_acctbal > 9000"))
+
+
+@query("q2_pricing_gaps_all", """WITH u AS (SELECT c_custkey, c_nationkey FROM customer), need AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
+    offer AS (SELECT DISTINCT s_nationkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT c_custkey, l_partkey FROM u JOIN need ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM offer WHERE s_nationkey = c_nationkey AND offer.l_partkey = need.l_partkey)""")
+def q2_all(spark, d):
+    return _pricing_gaps(spark, d, t(spark, d, "customer"))
+
+
+def _pricing_gaps(spark, d, users):
     """What a user needs and the banner of the user does not offer: equi-joins and one anti join."""
-    u = t(spark, d, "customer").filter("c_acctbal > 9000").select("c_custkey", "c_nationkey")
+    u = users.select("c_custkey", "c_nationkey")
     o = t(spark, d, "orders").filter("o_orderstatus = 'O'").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("c_custkey"))
     li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     need = li.join(o, "l_orderkey").select("c_custkey", "l_partkey").distinct().join(u, "c_custkey")
@@ -156,13 +166,23 @@ def ag28(spark, d):
 @query("wn3_preferred_store", """SELECT c_nationkey, l_partkey, l_suppkey FROM (SELECT u.c_nationkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY u.c_nationkey, l_partkey ORDER BY (s_nationkey = u.c_nationkey) DESC, p, l_suppkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9990) u,
     (SELECT l_partkey, l_suppkey, s_nationkey, min(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)) WHERE rn = 1""")
 def wn3(spark, d):
+    return _preferred_store(spark, d, t(spark, d, "customer").filter("c_acctbal > 9990"))
+
+
+@query("wn3_preferred_store_all", """SELECT c_nationkey, l_partkey, l_suppkey FROM (SELECT u.c_nationkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY u.c_nationkey, l_partkey ORDER BY (s_nationkey = u.c_nationkey) DESC, p, l_suppkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer) u,
+    (SELECT l_partkey, l_suppkey, s_nationkey, min(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)) WHERE rn = 1""")
+def wn3_all(spark, d):
+    return _preferred_store(spark, d, t(spark, d, "customer"))
+
+
+def _preferred_store(spark, d, users):
     """Per user group and product the own nation's cheapest store, else the cheapest of all. The best of each nation and
     the best of all are found once; groups then join them, so offers are not multiplied by groups."""
     s = t(spark, d, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("c_nationkey"))
     x = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", money.cents(c("l_extendedprice") / c("l_quantity")).alias("p")).groupBy("l_partkey", "l_suppkey").agg(F.min("p").alias("p")).join(s, "l_suppkey")
     local = windows.top_per_group(x, ["c_nationkey", "l_partkey"], [c("p"), c("l_suppkey")])
     every = windows.top_per_group(local, ["l_partkey"], [c("p"), c("l_suppkey")]).select("l_partkey", c("l_suppkey").alias("any"))
-    groups = t(spark, d, "customer").filter("c_acctbal > 9990").select("c_nationkey").distinct()
+    groups = users.select("c_nationkey").distinct()
     wanted = every.join(groups, F.lit(True))
     return wanted.join(local.select("c_nationkey", "l_partkey", "l_suppkey"), ["c_nationkey", "l_partkey"], "left").select("c_nationkey", "l_partkey", F.coalesce("l_suppkey", "any").alias("l_suppkey"))
 
