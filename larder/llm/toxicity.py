@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled texts gives the vocabulary (words and word beginnings that a chi-square test ties to a
-label), the examples, and the calibration. A text's neighbours are the examples of largest TF-IDF cosine, found exactly
-with a block-max inverted index: examples lie in blocks, each term keeps its largest weight per block, and blocks whose
-summed bound does not beat the k-th neighbour so far are never opened. Votes are weighted by closeness; a logistic curve
-fitted on labelled texts that are no examples turns votes into a probability.
-
-Defined results: a null or empty text, and one without any term of the vocabulary, has no neighbour and gets the
+A bounded sample of labelled texts gives the examples, the weights of all their words and word beginnings, and the
+calibration. A term weighs its TF-IDF times the root of its chi-square with the labels; norms are over the whole text. A
+text's neighbours are the examples of largest cosine of these weights, found exactly with a block-max inverted index:
+examples lie in blocks, each term keeps its largest weight per block, and blocks whose summed bound does not beat the k-th
+neighbour so far are never opened. Votes are weighted by closeness; a logistic curve fitted on labelled texts that are no
+examples turns votes into a probability.
+
+Defined results: a null or empty text, and one without any term of the sample, has no neighbour and gets the
 smoothed rate of such texts among the labelled. Neighbours of equal cosine come in order of their place in the index.
 Without labelled texts of both kinds every score is the smoothed base rate. Repeated rows are scored one by one; labels
 given twice for an id count twice. Other columns are never inputs.
@@ -32,36 +33,29 @@ NEIGHBOURS = 16
 BLOCK = 32
 #: A document is toxic at this score.
 THRESHOLD = 0.3
-#: Chi-square (1 degree of freedom) that a term must reach, and texts that it must occur in.
-MIN_CHI = 15.1
-MIN_TEXTS = 4
+#: Added to each term's chi-square (1 degree of freedom), so that terms without a lean still count; unseen terms have 0.
+CHI_FLOOR = 0.01
 #: Word beginnings of this many letters are terms, too.
 STEM = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, vocabulary=None) -> Counter:
-    """Term counts; given a vocabulary, only its terms."""
+def terms(text: str | None) -> Counter:
+    """Counts of words and word beginnings."""
     words = _LETTERS.findall((text or "").lower())
-    if vocabulary is None:
-        return Counter(words) + Counter(w[:STEM] + "*" for w in words if len(w) > STEM)
-    counts = Counter(w for w in words if w in vocabulary)
-    stems = vocabulary.stems
-    counts.update(w[:STEM] + "*" for w in words if w[:STEM] in stems and len(w) > STEM)
+    counts = Counter(words)
+    counts.update(w[:STEM] + "*" for w in words if len(w) > STEM)
     return counts
 
 
-class Vocabulary(dict):
-    """Term to number; stems holds the beginnings among them."""
-
-    def __init__(self, names):
-        super().__init__((t, i) for i, t in enumerate(names))
-        self.stems = {t[:-1] for t in names if t.endswith("*")}
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of the spans of n from first, end to end."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 class BlockMaxIndex:
-    """Unit vectors in an inverted index, terms by blocks of BLOCK examples."""
+    """Unit vectors in an inverted index; a cell is a term in a block of BLOCK examples, and only those that occur are kept."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         # Examples of like content side by side make the blocks' bounds tight.
@@ -73,22 +67,22 @@ class BlockMaxIndex:
         order = np.lexsort((rows, t))
         self.rows, self.weights, t = rows[order], w[order], t[order]
         cell = t * self.n_blocks + self.rows // block
-        self.first = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(n_terms, self.n_blocks)
-
-    def _open(self, blocks: np.ndarray, q_terms: np.ndarray, q_weights: np.ndarray, scores: np.ndarray) -> None:
-        cell = (q_terms[:, None] * self.n_blocks + blocks[None, :]).ravel()
-        a, n = self.first[cell], self.first[cell + 1] - self.first[cell]
-        total = int(n.sum())
-        if total:
-            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            scores += np.bincount(self.rows[at], self.weights[at] * np.repeat(np.repeat(q_weights, len(blocks)), n), self.n)
+        start = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.first, self.blocks = np.append(start, len(cell)), cell[start] % self.n_blocks
+        self.most = np.maximum.reduceat(self.weights, start) if len(start) else np.empty(0)
+        self.cells = np.searchsorted(t[start], np.arange(n_terms + 1))
+
+    def _open(self, cells: np.ndarray, q_weights: np.ndarray, scores: np.ndarray) -> None:
+        n = self.first[cells + 1] - self.first[cells]
+        if len(cells):
+            at = _spans(self.first[cells], n)
+            scores += np.bincount(self.rows[at], self.weights[at] * np.repeat(q_weights, n), self.n)
 
     def nearest(self, q_terms: np.ndarray, q_weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k examples of largest positive cosine, exactly; ties go to the smaller number."""
-        bound = q_weights @ self.most[q_terms]
+        n = self.cells[q_terms + 1] - self.cells[q_terms]
+        cells, weights = _spans(self.cells[q_terms], n), np.repeat(q_weights, n)
+        bound = np.bincount(self.blocks[cells], weights * self.most[cells], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         scores, at, step = np.zeros(self.n), 0, max(1, 2 * k // self.block + 1)
@@ -98,7 +92,10 @@ class BlockMaxIndex:
             blocks = blocks[bound[blocks] >= limit - 1e-12]
             if not len(blocks):
                 break
-            self._open(blocks, q_terms, q_weights, scores)
+            opened = np.zeros(self.n_blocks, bool)
+            opened[blocks] = True
+            now = opened[self.blocks[cells]]
+            self._open(cells[now], weights[now], scores)
             at, step = at + step, step * 4
             if self.n > k:
                 limit = np.partition(scores, self.n - k)[self.n - k]
@@ -125,14 +122,12 @@ class Model:
             if y:
                 hit.update(c.keys())
         n, p = len(texts), int(toxic.sum())
-        names = []
-        for t, c in df.items():
-            a = hit[t]
-            if c >= MIN_TEXTS and c < n and 0 < p < n and a * n > c * p and n * (a * (n - p - c + a) - (c - a) * (p - a)) ** 2 >= MIN_CHI * c * (n - c) * p * (n - p):
-                names.append(t)
-        names.sort()
-        self.vocabulary = Vocabulary(names)
-        self.idf = np.array([np.log(n / df[t]) for t in names])
+        names = sorted(df) if 0 < p < n else []
+        self.vocabulary = {t: i for i, t in enumerate(names)}
+        c, a = np.array([df[t] for t in names], dtype=float), np.array([hit[t] for t in names], dtype=float)
+        chi = n * (a * (n - p - c + a) - (c - a) * (p - a)) ** 2 / np.maximum(c * (n - c) * p * (n - p), 1)
+        self.weights = np.log((n + 1) / c) * np.sqrt(chi + CHI_FLOOR)
+        self.unseen = np.log(n + 1) * np.sqrt(CHI_FLOOR)
         vectors = [self.vector(c) for c in counts]
         example = [i for i in range(n) if not calibrate[i] and len(vectors[i][0])]
         # Sorted by their heaviest term, so that a block's examples have terms in common.
@@ -149,9 +144,10 @@ class Model:
         v = self.vocabulary
         at = sorted((v[t], c) for t, c in counts.items() if t in v)
         t = np.array([a for a, _ in at], dtype=np.int64)
-        w = (1 + np.log(np.array([c for _, c in at], dtype=float))) * self.idf[t] if len(at) else np.empty(0)
-        norm = np.sqrt(w @ w)
-        return (t, w / norm) if norm else (t[:0], w[:0])
+        w = (1 + np.log(np.array([c for _, c in at], dtype=float))) * self.weights[t] if len(at) else np.empty(0)
+        rest = self.unseen * (1 + np.log(np.array([c for t, c in counts.items() if t not in v], dtype=float)))
+        norm = np.sqrt(w @ w + rest @ rest)
+        return (t, w / norm) if len(at) else (t, w)
 
     def votes(self, vector) -> tuple[float, np.ndarray, np.ndarray]:
         """The vote of the neighbours, weighted by 1 / (1 + distance) with the cosine distance and smoothed by one vote of
@@ -161,7 +157,7 @@ class Model:
         return (w @ self.labels[near] + 0.25 * self.rate) / (w.sum() + 0.25), near, cosine
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        v = self.vector(terms(text, self.vocabulary)) if self.vocabulary else (np.empty(0, np.int64), np.empty(0))
+        v = self.vector(terms(text)) if self.vocabulary else (np.empty(0, np.int64), np.empty(0))
         if not len(v[0]) or not len(self.labels):
             return (self.none if len(self.labels) else self.rate), np.empty(0, np.int64), np.empty(0)
         vote, near, cosine = self.votes(v)

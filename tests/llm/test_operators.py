@@ -82,6 +82,19 @@ def test_toxicity(spark, odd, labels, docs):
         assert np.allclose(cos, best[best > 0]) and np.allclose(s[near], cos)
 
 
+def test_toxicity_all_terms():
+    """Every example with a word is indexed; a copy of one whose words are rare finds it, by a cosine over all its terms."""
+    plain = " ".join(f"plain{chr(97 + i % 26)}" for i in range(40))
+    texts = [f"{plain} calm{chr(97 + i % 26)}" if i % 5 else f"vile nasty q{chr(97 + i % 26) * (i // 26 + 1)}" for i in range(60)] + ["zorg blaf quux"] + [""] * 3
+    toxic = np.array([i % 5 == 0 or i == 60 for i in range(64)], dtype=int)
+    model = toxicity.Model(texts, toxic, np.arange(64) % 4 == 3)
+    assert model.index.n == sum(i % 4 != 3 and bool(x) for i, x in enumerate(texts))
+    score, near, cosine = model.score("zorg blaf quux")
+    assert len(near) and abs(cosine[0] - 1) < 1e-9 and model.labels[near[0]] == 1 and score > toxicity.THRESHOLD
+    _, _, cosine = model.score(plain + " " + " ".join(f"other{chr(97 + i)}" for i in range(26)) + " vile")
+    assert cosine.max() < 0.99  # one toxic word is not the whole text
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     out = queries.QUERIES["op2_toxicity"](spark, d).join(common.table(spark, d, "labels"), "doc_id").filter("held_out")
