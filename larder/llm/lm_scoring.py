@@ -1,9 +1,9 @@
 """Language-model scoring with an interpolated modified Kneser-Ney bigram model.
 
 Spark counts the words and word pairs of all training texts: tasks count their own rows into sorted arrays, the arrays
-are dealt by hash over buckets, and each bucket is merged and written to the shared folder as sorted hash arrays. Workers
+are dealt over ranges of hashes, and each range is merged and written to the shared folder as a sorted hash array. Workers
 memory-map those files and look texts up by binary search; only a few totals pass through the driver. A word is known by
-64 bits of hash for its own count, and by 32 bits inside a pair, so a pair is one 64-bit key.
+64 bits of hash for its own count, and by 32 bits inside a pair, so a pair is one 64-bit key. Counts have 64 bits.
 
 Defined results: a null text counts as empty and has one token, the end. Rows with a null id are scored and counted as
 training text. Without training text all words are unknown and have the same probability. Repeated rows count and are
@@ -12,22 +12,21 @@ scored as often as they occur. Other columns are not looked at.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, fold, low_words, map_file, map_texts, mix64, put_file, release, rounds, scratch, table, written
+from . import hash_arrays as H
+from .common import Codes, fold, low_words, map_texts, mix64, release, rounds, scratch, table, written
 
-#: Bytes of input for each bucket of the hash arrays.
-BUCKET_BYTES = 6 << 20
 #: Tokens that a counting task gathers before it deals them out.
 FLUSH = 1_000_000
+#: Rows of word statistics that a merging task gathers before it deals them out.
+STATS = 400_000
+TOTAL, WORD, PAIR, STAT = 0, 1, 2, 3
+WIDTHS = {TOTAL: 6, WORD: 1, PAIR: 1, STAT: 5}
 END, START = b"\n</s>", b"\n<s>"
 
 
@@ -55,28 +54,26 @@ def _pairs(tokens: np.ndarray, n: np.ndarray, h32: np.ndarray) -> np.ndarray:
     return (h32[tokens[at - 1]] << np.uint64(32)) | h32[tokens[at]]
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(keys) >> np.uint64(24)).astype(np.int64) % buckets
-
-
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their rows of values."""
-    if not len(keys):
-        return keys, values
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(values, first, axis=0)
+def _by_word(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of distinct pairs (in the upper half of a key) and their statistics: by first word the pairs' sum and its
+    followers seen once, twice, more often; by second word the number of words before it."""
+    pairs = H.unmix64(keys)
+    left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+    order = np.argsort(left, kind="stable")
+    left, c = left[order], counts[order]
+    at = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+    one = np.zeros((len(at), 5), np.int64)
+    for j, x in enumerate((c, c == 1, c == 2, c > 2)):
+        one[:, j] = np.add.reduceat(x.astype(np.int64), at)
+    right, n = np.unique(right, return_counts=True)
+    two = np.zeros((len(right), 5), np.int64)
+    two[:, 4] = n
+    return H.summed(np.concatenate([left[at], right]) << np.uint64(32), np.concatenate([one, two]))
 
 
-def _dealt(kind: str, keys: np.ndarray, values: np.ndarray, buckets: int):
-    """(kind, bucket, bytes of keys, bytes of values) of sorted keys."""
-    b = _bucket(keys, buckets)
-    order = np.argsort(b, kind="stable")
-    ends = np.searchsorted(b[order], np.arange(buckets + 1))
-    for i in np.flatnonzero(np.diff(ends)):
-        at = order[ends[i] : ends[i + 1]]
-        yield kind, int(i), keys[at].tobytes(), np.ascontiguousarray(values[at]).tobytes()
+def _counts_of_counts(c: np.ndarray) -> np.ndarray:
+    """Sum, number, and how many are 1, 2, 3 and 4."""
+    return np.array([c.sum(), len(c), *(np.count_nonzero(c == i) for i in (1, 2, 3, 4))], dtype=np.int64)
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -91,50 +88,26 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     """Where the arrays lie and the totals; a few numbers."""
 
-    def __init__(self, folder: str, buckets: int):
-        self.folder, self.buckets = folder, buckets
+    def __init__(self, folder: str, layout: H.Layout):
+        self.folder, self.layout = folder, layout
         self.tokens = self.words = self.types = 0
         self.pair_discounts = self.word_discounts = (0.5, 1.0, 1.5)
         self.left = 1.0  # share of the unigram distribution that goes to the uniform one
-        self.have: dict[str, set[int]] = {"word": set(), "pair": set(), "stat": set()}
 
 
-class Reader:
-    """A model's arrays, memory-mapped in one task as they are needed."""
-
-    TYPES = {"word": (np.uint64, np.uint32, 1), "pair": (np.uint64, np.uint32, 1), "stat": (np.uint32, np.int64, 5)}
+class Scorer:
+    """Scores texts in one task with a model's arrays."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
-
-    def find(self, kind: str, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, 0 where there is none."""
-        key_t, value_t, width = self.TYPES[kind]
-        out = np.zeros((len(keys), width), dtype=np.int64)
-        b = _bucket(keys, self.model.buckets)
-        order = np.lexsort((keys, b))
-        ends = np.searchsorted(b[order], np.arange(self.model.buckets + 1))
-        for i in np.flatnonzero(np.diff(ends)).tolist():
-            if i not in self.model.have[kind]:
-                continue
-            if (kind, i) not in self.maps:
-                values = map_file(self.model.folder, f"{kind}-{i}.values", value_t)
-                self.maps[kind, i] = map_file(self.model.folder, f"{kind}-{i}.keys", key_t), values.reshape(-1, width)
-            all_keys, values = self.maps[kind, i]
-            at = order[ends[i] : ends[i + 1]]
-            own = keys[at].astype(key_t)
-            pos = np.minimum(np.searchsorted(all_keys, own), len(all_keys) - 1)
-            hit = all_keys[pos] == own
-            out[at[hit]] = values[pos[hit]]
-        return out
+        self.model, self.arrays = model, H.Reader(model.folder, model.layout)
 
     def score(self, texts: list) -> dict:
         m, codes = self.model, Codes()
         tokens, n = _tokens(texts, codes)
         h64 = _hashes(codes.words)
         h32 = h64 >> np.uint64(32)
-        known = self.find("word", h64)[:, 0]
-        total, n1, n2, n3, cont = self.find("stat", h32).T
+        known = self.arrays.find("word", h64)[:, 0]
+        total, n1, n2, n3, cont = self.arrays.find("stat", h32 << np.uint64(32), 5).T
         d1, d2, d3 = m.word_discounts
         unigram = m.left / (m.words + 1)
         p_word = np.maximum(cont - np.select([cont == 1, cont == 2, cont > 2], [d1, d2, d3], 0.0), 0) / max(m.types, 1) + unigram
@@ -143,8 +116,8 @@ class Reader:
         first = np.zeros(len(tokens), dtype=bool)
         first[np.cumsum(n) - n] = True
         at = np.flatnonzero(~first)
-        keys, place = np.unique(_pairs(tokens, n, h32), return_inverse=True)
-        c = self.find("pair", keys)[:, 0][place]
+        keys, place = np.unique(mix64(_pairs(tokens, n, h32)), return_inverse=True)
+        c = self.arrays.find("pair", keys)[:, 0][place]
         left, word = tokens[at - 1], tokens[at]
         p = np.maximum(c - np.select([c == 1, c == 2, c > 2], [d1, d2, d3], 0.0), 0) / np.maximum(total[left], 1) + back[left] * p_word[word]
         owner = np.repeat(np.arange(len(texts)), n - 1)
@@ -157,30 +130,26 @@ class Reader:
 
 
 def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -> Model:
-    """Counts all texts of docs. What is shuffled are each task's distinct words and pairs, then the buckets' sums by word."""
+    """Counts all texts of docs. What is shuffled are each task's distinct words and pairs, then the files' sums by word."""
     spark = docs.sparkSession
     source = docs.select(F.col(text_col).cast("string").alias("text"))
-    if buckets is None:
-        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        buckets = max(4, math.ceil(source.rdd.getNumPartitions() * max(1.0, split / BUCKET_BYTES)))
+    layout = H.Layout(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, buckets)
     folder = scratch(spark, "lm")
-    model = Model(folder, buckets)
+    model = Model(folder, layout)
 
     def count(batches):
         codes, parts, held = Codes(), [], 0
 
         def flush():
             h64 = _hashes(codes.words)
-            h32, rows = h64 >> np.uint64(32), []
             tokens, n = np.concatenate([t for t, _ in parts]), np.concatenate([k for _, k in parts])
             c = np.bincount(tokens, minlength=len(codes.words))
             c[codes[START]] = 0
             at = np.flatnonzero(c)
             at = at[np.argsort(h64[at])]
-            rows += _dealt("word", h64[at], c[at].astype(np.uint32), buckets)
-            keys, k = np.unique(_pairs(tokens, n, h32), return_counts=True)
-            rows += _dealt("pair", keys, k.astype(np.uint32), buckets)
-            return _rows(rows)
+            rows = layout.deal(WORD, h64[at], c[at])
+            keys, k = np.unique(mix64(_pairs(tokens, n, h64 >> np.uint64(32))), return_counts=True)
+            return H.batch(rows + layout.deal(PAIR, keys, k))
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -195,67 +164,56 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -
         codes, parts = None, None
         release()
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = key
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["values"]]).astype(np.int64)
-        keys, counts = _summed(keys, counts)
-        put_file(folder, f"{kind}-{bucket}.keys", keys.tobytes())
-        put_file(folder, f"{kind}-{bucket}.values", counts.astype(np.uint32).tobytes())
-        rows = [(f"n{kind}", bucket, b"", np.array([counts.sum(), len(keys), *((counts == i).sum() for i in (1, 2, 3, 4))], dtype=np.int64).tobytes())]
-        if kind == "pair":
-            # By first word: sum, and followers seen once, twice, more often; by second word: words before it.
-            one = np.stack([counts, counts == 1, counts == 2, counts > 2, np.zeros_like(counts)], 1).astype(np.int64)
-            two = np.zeros_like(one)
-            two[:, 4] = 1
-            words, sums = _summed(keys >> np.uint64(32), one)
-            words2, sums2 = _summed(keys & np.uint64(0xFFFFFFFF), two)
-            words, sums = _summed(np.concatenate([words, words2]), np.concatenate([sums, sums2]))
-            rows += [("stat", b, k, v) for _, b, k, v in _dealt("stat", words, sums, buckets)]
+    def totals(sums: dict) -> list[tuple]:
+        return [(0, TOTAL, kind, b"", n.tobytes()) for kind, n in sums.items()]
+
+    def merge(batches):
+        writer, sums, stats, held = H.Writer(folder), {}, [], 0
+        for file, kind, _, keys, values in H.buckets(batches, WIDTHS):
+            writer.add(f"{'word' if kind == WORD else 'pair'}-{file}", keys, values)
+            sums[kind] = sums.get(kind, 0) + _counts_of_counts(values[:, 0])
+            if kind == PAIR:
+                stats.append(_by_word(keys, values[:, 0]))
+                held += len(stats[-1][0])
+                if held >= STATS:
+                    yield H.batch(layout.deal(STAT, *H.summed(*map(np.concatenate, zip(*stats)))))
+                    stats, held = [], 0
+        writer.close()
+        if held:
+            yield H.batch(layout.deal(STAT, *H.summed(*map(np.concatenate, zip(*stats)))))
+        yield H.batch(totals(sums))
         release()
-        return pd.DataFrame(rows, columns=["kind", "bucket", "keys", "values"])
-
-    def merge_stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        keys, sums = _summed(keys, np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in pdf["values"]]))
-        put_file(folder, f"stat-{key[0]}.keys", keys.astype(np.uint32).tobytes())
-        put_file(folder, f"stat-{key[0]}.values", sums.tobytes())
-        c = sums[:, 4]
-        return pd.DataFrame([(key[0], [int(c.sum()), *(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c > 2).sum())])], columns=["bucket", "n"])
-
-    schema = "kind string, bucket int, keys binary, `values` binary"
-    merged = written(source.mapInArrow(count, schema).groupBy("kind", "bucket").applyInPandas(merge, schema), "lm-merged")
-    # Per bucket one short row: totals come to the driver, arrays never do.
-    n = {"word": np.zeros(6, np.int64), "pair": np.zeros(6, np.int64)}
-    for r in merged.filter(F.col("kind").isin("nword", "npair")).select("kind", "bucket", "values").collect():
-        n[r["kind"][1:]] += np.frombuffer(r["values"], np.int64)
-        model.have[r["kind"][1:]].add(r["bucket"])
-    s = np.zeros(6, np.int64)
-    for r in merged.filter("kind = 'stat'").groupBy("bucket").applyInPandas(merge_stats, "bucket int, n array<long>").collect():
-        s += np.array(r["n"])
-        model.have["stat"].add(r["bucket"])
-    model.tokens, model.words, model.types = int(n["word"][0]), int(n["word"][1]), int(s[0])
-    model.pair_discounts, model.word_discounts = _discounts(n["pair"][2:].tolist()), _discounts(s[1:5].tolist())
-    d1, d2, d3 = model.word_discounts
-    model.left = (d1 * s[1] + d2 * s[2] + d3 * s[5]) / s[0] if s[0] else 1.0
-    return model
-
-
-def _bytes(text: str) -> int:
-    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    t = text.strip().lower().removesuffix("b") or "0"
-    return int(t[:-1]) * unit[t[-1]] if t[-1] in unit else int(t)
 
+    def merge_stats(batches):
+        writer, sums = H.Writer(folder), {STAT: np.zeros(6, np.int64)}
+        for file, _, _, keys, values in H.buckets(batches, WIDTHS):
+            writer.add(f"stat-{file}", keys, values)
+            c = values[:, 4]
+            sums[STAT] += np.array([c.sum(), np.count_nonzero(c > 2), *(np.count_nonzero(c == i) for i in (1, 2, 3, 4))])
+        writer.close()
+        yield H.batch(totals(sums))
+        release()
 
-def _rows(rows: list) -> pa.RecordBatch:
-    kind, bucket, keys, values = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["kind", "bucket", "keys", "values"])
+    merged = H.dealt(source.mapInArrow(count, H.ROWS), layout).mapInArrow(merge, H.ROWS)
+    # Totals come to the driver, one short row for each task; arrays never do.
+    merged = merged.withColumn("file", F.when(F.col("kind") == TOTAL, -1).otherwise(F.col("file")))
+    merged = written(merged, "lm-merged")
+    found = {WORD: np.zeros(6, np.int64), PAIR: np.zeros(6, np.int64), STAT: np.zeros(6, np.int64)}
+    for part in (merged.filter(F.col("kind") == TOTAL), H.dealt(merged.filter(F.col("kind") == STAT), layout).mapInArrow(merge_stats, H.ROWS)):
+        for r in part.select("bucket", "counts").collect():
+            found[r["bucket"]] += np.frombuffer(r["counts"], np.int64)
+    word, pair, stat = (found[k].tolist() for k in (WORD, PAIR, STAT))
+    model.tokens, model.words, model.types = word[0], word[1], stat[0]
+    model.pair_discounts, model.word_discounts = _discounts(pair[2:]), _discounts(stat[2:])
+    d1, d2, d3 = model.word_discounts
+    model.left = (d1 * stat[2] + d2 * stat[3] + d3 * stat[1]) / stat[0] if stat[0] else 1.0
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity per row; no shuffle."""
     fields = [T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(k, T.DoubleType()) for k in ("base_score", "score", "perplexity")]
-    return map_texts(docs, [id_col], text_col, lambda: Reader(model).score, fields)
+    return map_texts(docs, [id_col], text_col, lambda: Scorer(model).score, fields)
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

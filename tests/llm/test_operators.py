@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larder.llm import common, language_id, license_scan, lm_scoring, near_dedup, nearest, packing, quality_rules, queries, source_mix, toxicity, url_filter
+from larder.llm import common, hash_arrays, language_id, license_scan, lm_scoring, near_dedup, nearest, packing, quality_rules, queries, source_mix, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 997}" for i in range(30_000)) + "."
@@ -259,6 +259,70 @@ def test_lm_scoring(odd, docs, texts):
     assert np.mean(held) > np.mean([r.base_score / r.n_tokens for i, r in out.items() if zlib.crc32(str(i).encode()) % 10 == 0])
 
 
+def kneser_ney(train, texts):
+    """log10 probability of each text by the textbook formulas, over plain dictionaries."""
+    pairs, words = Counter(), Counter()
+    for t in train:
+        ws = ["<s>", *t, "</s>"]
+        pairs.update(zip(ws, ws[1:]))
+        words.update(ws[1:])
+
+    def discounts(counts):
+        n = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
+        if min(n) == 0:
+            return 0.5, 1.0, 1.5
+        y = n[0] / (n[0] + 2 * n[1])
+        return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) for k in (1, 2, 3))
+
+    before = Counter(b for _, b in pairs)
+    total, follow = Counter(), {}
+    for (a, _), c in pairs.items():
+        total[a] += c
+        follow.setdefault(a, Counter())[min(c, 3)] += 1
+    dp, dw = discounts(pairs.values()), discounts(before.values())
+    types = len(pairs)
+    left = sum(dw[min(c, 3) - 1] for c in before.values()) / types
+
+    def p(a, b):
+        c = before[b]
+        low = (c - dw[min(c, 3) - 1] if c else 0) / types + left / (len(words) + 1)
+        if not total[a]:
+            return low
+        c = pairs[a, b]
+        return (c - dp[min(c, 3) - 1] if c else 0) / total[a] + sum(dp[k - 1] * n for k, n in follow[a].items()) / total[a] * low
+
+    return [sum(np.log10(p(a, b)) for a, b in zip(["<s>", *t], [*t, "</s>"])) for t in texts]
+
+
+def test_lm_kneser_ney(spark, docs, texts):
+    own = {i: t.encode().lower().split() for i, t in texts.items()}
+    want = dict(zip(own, kneser_ney([w for i, w in own.items() if zlib.crc32(str(i).encode()) % 10], own.values())))
+    for buckets in (None, 97):
+        model = lm_scoring.train(docs.filter(common.fold("doc_id", 10) != 0), buckets=buckets)
+        got = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+    assert lm_scoring.score(docs.limit(0), model).count() == 0
+
+
+def test_hash_arrays(tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    assert (hash_arrays.unmix64(common.mix64(x)) == x).all()
+    layout = hash_arrays.Layout(0, 200)
+    keys = np.unique(np.concatenate([x, np.arange(300, dtype=np.uint64) + (np.uint64(1) << np.uint64(60))]))  # some close, some far apart
+    values = rng.integers(1, 9, (len(keys), 2)) ** rng.integers(1, 14, (len(keys), 2))  # some beyond 32 bits
+    rows = [r for _ in range(3) for r in layout.deal(1, keys, values)]
+    rows.sort(key=lambda r: r[:3])
+    writer = hash_arrays.Writer(str(tmp_path))
+    for file, _, _, k, v in hash_arrays.buckets(iter([hash_arrays.batch(rows)]), {1: 2}):
+        writer.add(f"x-{file}", k, v)
+    writer.close()
+    ask = np.concatenate([keys[::-1], keys + np.uint64(1)])
+    got = hash_arrays.Reader(str(tmp_path), layout).find("x", ask, 2)
+    known = dict(zip(keys.tolist(), (3 * values).tolist()))
+    assert got.tolist() == [known.get(k, [0, 0]) for k in ask.tolist()]
+
+
 def test_packing(odd, docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
