@@ -26,11 +26,15 @@ from pyspark.sql import types as T
 from .common import filter_texts, fold, map_texts, table
 
 #: Bound of the labelled sample: the classifier is fitted on at most so many texts, those of the smallest hash, and on at
-#: most SAMPLE_CHARS of their characters.
+#: most SAMPLE_CHARS of their characters: a text that would pass the rest of it is left out, shorter ones still count.
 SAMPLE = 6_000
 SAMPLE_CHARS = 40_000_000
 NEIGHBOURS = 16
 BLOCK = 32
+#: Terms that are held by block.
+FREQUENT = 1_024
+#: Texts that are looked up at a time.
+AT_ONCE = 128
 #: A document is toxic at this score.
 THRESHOLD = 0.3
 #: Added to each term's chi-square (1 degree of freedom), so that terms without a lean still count; unseen terms have 0.
@@ -43,9 +47,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def terms(text: str | None) -> Counter:
     """Counts of words and word beginnings."""
-    words = _LETTERS.findall((text or "").lower())
-    counts = Counter(words)
-    counts.update(w[:STEM] + "*" for w in words if len(w) > STEM)
+    counts = Counter(_LETTERS.findall((text or "").lower()))
+    for w, c in list(counts.items()):
+        if len(w) > STEM:
+            counts[w[:STEM] + "*"] += c
     return counts
 
 
@@ -55,59 +60,81 @@ def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors in an inverted index; a cell is a term in a block of BLOCK examples, and only those that occur are kept."""
+    """Unit vectors in an inverted index whose examples lie in blocks of BLOCK. Many queries are looked up at once.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        # Examples of like content side by side make the blocks' bounds tight.
+    Entries of the rare terms are added up first. The FREQUENT most frequent terms are held by block, with their largest
+    weight in each: what a block's examples have from rare terms, plus the query's weights times those, bounds their cosines,
+    and a block is opened only while that can reach the k-th cosine found."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, frequent: int = FREQUENT):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-max(self.n, 1) // block)
         rows = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if self.n else np.empty(0, np.int64)
         t = np.concatenate([t for t, _ in vectors]) if self.n else np.empty(0, np.int64)
         w = np.concatenate([w for _, w in vectors]) if self.n else np.empty(0)
         order = np.lexsort((rows, t))
-        self.rows, self.weights, t = rows[order], w[order], t[order]
-        cell = t * self.n_blocks + self.rows // block
-        start = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.first, self.blocks = np.append(start, len(cell)), cell[start] % self.n_blocks
-        self.most = np.maximum.reduceat(self.weights, start) if len(start) else np.empty(0)
-        self.cells = np.searchsorted(t[start], np.arange(n_terms + 1))
-
-    def _open(self, cells: np.ndarray, q_weights: np.ndarray, scores: np.ndarray) -> None:
-        n = self.first[cells + 1] - self.first[cells]
-        if len(cells):
-            at = _spans(self.first[cells], n)
-            scores += np.bincount(self.rows[at], self.weights[at] * np.repeat(q_weights, n), self.n)
-
-    def nearest(self, q_terms: np.ndarray, q_weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k examples of largest positive cosine, exactly; ties go to the smaller number."""
-        n = self.cells[q_terms + 1] - self.cells[q_terms]
-        cells, weights = _spans(self.cells[q_terms], n), np.repeat(q_weights, n)
-        bound = np.bincount(self.blocks[cells], weights * self.most[cells], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, at, step = np.zeros(self.n), 0, max(1, 2 * k // self.block + 1)
-        limit = 0.0
-        while at < len(order):
-            blocks = order[at : at + step]
-            blocks = blocks[bound[blocks] >= limit - 1e-12]
-            if not len(blocks):
-                break
-            opened = np.zeros(self.n_blocks, bool)
-            opened[blocks] = True
-            now = opened[self.blocks[cells]]
-            self._open(cells[now], weights[now], scores)
-            at, step = at + step, step * 4
+        self.rows, self.weights = rows[order], w[order]
+        n = np.bincount(t, minlength=n_terms)
+        self.of_term = np.concatenate(([0], np.cumsum(n)))
+        self.frequent = np.sort(np.argsort(-n, kind="stable")[:frequent])
+        self.slot = np.full(n_terms, -1)
+        self.slot[self.frequent] = np.arange(len(self.frequent))
+        self.held = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None}  # each task makes its own
+
+    def _by_block(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the frequent terms as (block, term, example), and the largest as (term, block)."""
+        if self.held is None:
+            n = self.of_term[self.frequent + 1] - self.of_term[self.frequent]
+            at = _spans(self.of_term[self.frequent], n)
+            dense = np.zeros((self.n_blocks, len(self.frequent), self.block))
+            dense[self.rows[at] // self.block, np.repeat(np.arange(len(n)), n), self.rows[at] % self.block] = self.weights[at]
+            self.held = dense, np.ascontiguousarray(dense.max(2).T)
+        return self.held
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each query the numbers and cosines (to 12 digits) of its k examples of largest positive cosine, exactly, with
+        ties going to the smaller number; and the share of blocks that each query opened."""
+        dense, most = self._by_block()
+        n_queries, width = len(queries), self.n_blocks * self.block
+        owner = np.repeat(np.arange(n_queries), [len(t) for t, _ in queries])
+        t = np.concatenate([t for t, _ in queries]) if queries else np.empty(0, np.int64)
+        w = np.concatenate([w for _, w in queries]) if queries else np.empty(0)
+        slot = self.slot[t]
+        often = slot >= 0
+        q = np.zeros((n_queries, len(self.frequent)))
+        q[owner[often], slot[often]] = w[often]
+        t, w, owner = t[~often], w[~often], owner[~often]
+        n = self.of_term[t + 1] - self.of_term[t]
+        at = _spans(self.of_term[t], n)
+        scores = np.bincount(np.repeat(owner * width, n) + self.rows[at], self.weights[at] * np.repeat(w, n), n_queries * width).astype(float).reshape(n_queries, self.n_blocks, self.block)
+        bound = scores.max(2) + q @ most
+        done = bound <= 0
+        opened = np.zeros(n_queries)
+        limit = np.zeros(n_queries)
+        # A few blocks of the largest bounds first; then, against the k-th cosine found, all that may still matter.
+        for step in (2 * k // self.block + 1, 8 * k // self.block + 4, None):
+            todo = ~done & (bound >= limit[:, None] - 1e-9)
+            if step is not None and step < self.n_blocks:
+                ranked = np.where(todo, bound, -1.0)
+                todo &= ranked >= np.partition(ranked, self.n_blocks - step, axis=1)[:, self.n_blocks - step, None]
+            for b in np.flatnonzero(todo.any(0)):
+                who = np.flatnonzero(todo[:, b])
+                scores[who, b] += q[who] @ dense[b]
+            done |= todo
+            opened += todo.sum(1)
             if self.n > k:
-                limit = np.partition(scores, self.n - k)[self.n - k]
-        top = np.lexsort((np.arange(self.n), -scores))[:k] if self.n <= 4 * k else self._top(scores, k)
-        top = top[scores[top] > 0]
-        return top, scores[top]
-
-    @staticmethod
-    def _top(scores: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-        return near[np.lexsort((near, -scores[near]))][:k]
+                limit = np.partition(scores.reshape(n_queries, width), width - k, axis=1)[:, -k]
+        scores = scores.reshape(n_queries, width).round(12)
+        kth = np.partition(scores, width - k, axis=1)[:, -k] if width > k else np.zeros(n_queries)
+        out = []
+        for own, least in zip(scores, kth):
+            near = np.flatnonzero((own >= least) & (own > 0))
+            near = near[np.lexsort((near, -own[near]))][:k]
+            out.append((near, own[near]))
+        return out, opened / self.n_blocks
 
 
 class Model:
@@ -130,38 +157,53 @@ class Model:
         self.unseen = np.log(n + 1) * np.sqrt(CHI_FLOOR)
         vectors = [self.vector(c) for c in counts]
         example = [i for i in range(n) if not calibrate[i] and len(vectors[i][0])]
-        # Sorted by their heaviest term, so that a block's examples have terms in common.
-        example.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
+        # Sorted by their heaviest term among the common ones, so that a block's examples have terms in common.
+        common = c * 50 >= n
+        example.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * common[vectors[i][0]])]), i))
         self.index = BlockMaxIndex([vectors[i] for i in example], len(names))
         self.labels = toxic[example].astype(float) if example else np.empty(0)
         self.curve = (0.0, 1.0)
         held = [i for i in range(n) if calibrate[i] and len(vectors[i][0])]
         self.none = (sum(bool(toxic[i]) for i in range(n) if not len(vectors[i][0])) + self.rate) / (sum(not len(v[0]) for v in vectors) + 1)
         if held and len(self.labels):
-            self.curve = _logistic(np.array([self.votes(vectors[i])[0] for i in held]), toxic[held].astype(float))
+            self.curve = _logistic(np.array([v for v, _, _ in self.votes([vectors[i] for i in held])]), toxic[held].astype(float))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, in order, and weights of the terms that the sample has; the norm is over all terms."""
         v = self.vocabulary
-        at = sorted((v[t], c) for t, c in counts.items() if t in v)
-        t = np.array([a for a, _ in at], dtype=np.int64)
-        w = (1 + np.log(np.array([c for _, c in at], dtype=float))) * self.weights[t] if len(at) else np.empty(0)
-        rest = self.unseen * (1 + np.log(np.array([c for t, c in counts.items() if t not in v], dtype=float)))
-        norm = np.sqrt(w @ w + rest @ rest)
-        return (t, w / norm) if len(at) else (t, w)
-
-    def votes(self, vector) -> tuple[float, np.ndarray, np.ndarray]:
-        """The vote of the neighbours, weighted by 1 / (1 + distance) with the cosine distance and smoothed by one vote of
-        the base rate of small weight; the neighbours and their cosines are the evidence."""
-        near, cosine = self.index.nearest(*vector, self.k)
-        w = cosine / (1.0 + (1.0 - cosine))
-        return (w @ self.labels[near] + 0.25 * self.rate) / (w.sum() + 0.25), near, cosine
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        v = self.vector(terms(text)) if self.vocabulary else (np.empty(0, np.int64), np.empty(0))
-        if not len(v[0]) or not len(self.labels):
-            return (self.none if len(self.labels) else self.rate), np.empty(0, np.int64), np.empty(0)
-        vote, near, cosine = self.votes(v)
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * _logit(vote)))), near, cosine
+        t = np.fromiter((v.get(x, -1) for x in counts), np.int64, len(counts))
+        tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = np.flatnonzero(t >= 0)
+        known = known[np.argsort(t[known])]
+        w = tf[known] * self.weights[t[known]]
+        unseen = self.unseen * tf[t < 0]
+        return t[known], w / np.sqrt(w @ w + unseen @ unseen) if len(known) else w
+
+    def votes(self, vectors: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each vector the vote of its neighbours, weighted by 1 / (1 + distance) with the cosine distance and smoothed by
+        one vote of the base rate of small weight; the neighbours and their cosines are the evidence."""
+        out = []
+        for a in range(0, len(vectors), AT_ONCE):
+            for near, cosine in self.index.nearest(vectors[a : a + AT_ONCE], self.k)[0]:
+                w = cosine / (1.0 + (1.0 - cosine))
+                out.append(((w @ self.labels[near] + 0.25 * self.rate) / (w.sum() + 0.25), near, cosine))
+        return out
+
+    def scores(self, texts: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and cosines of each text."""
+        nothing = np.empty(0, np.int64), np.empty(0)
+        if not len(self.labels):
+            return [(self.rate, *nothing)] * len(texts)
+        vectors = [self.vector(terms(t)) for t in texts]
+        voted = iter(self.votes([v for v in vectors if len(v[0])]))
+        out = []
+        for v in vectors:
+            if not len(v[0]):
+                out.append((self.none, *nothing))
+                continue
+            vote, near, cosine = next(voted)
+            out.append((1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * _logit(vote)))), near, cosine))
+        return out
 
 
 def _logit(p):
@@ -182,19 +224,19 @@ def _logistic(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), max(float(b[1]), 0.05)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """From rows whose crc32(id as text) mod 4 is not 2: a sample of at most `sample` labelled texts, by hash of the id.
 
     The ids of the sample are chosen from the labels alone, so texts of other documents are never moved.
     """
     lab = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter((fold("__id", 4) != 2) & F.col("__y").isin(0, 1))
     chosen = F.broadcast(lab.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(chosen, "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(chosen, "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text")).filter(F.length("__text") <= chars)
     texts, y, ids, size = [], [], [], 0
     for r in rows.orderBy(F.xxhash64("__id"), "__id", "__text").toLocalIterator():
+        if size + len(r["__text"]) > chars:
+            continue
         size += len(r["__text"])
-        if size > SAMPLE_CHARS:
-            break
         texts.append(r["__text"]), y.append(r["__y"]), ids.append(r["__id"])
     return Model(texts, np.array(y, dtype=int), np.arange(len(y)) % 4 == 3)
 
@@ -214,7 +256,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         m = sent.value
 
         def fn(texts):
-            scored = [m.score(t) for t in texts]
+            scored = m.scores(texts)
             out = {"score": np.array([s for s, _, _ in scored])}
             if evidence:
                 out["neighbours"] = [[{"example": int(i), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(near, cos)] for _, near, cos in scored]
@@ -231,7 +273,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def make():
         m = sent.value
-        return lambda texts: np.array([m.score(t)[0] < threshold for t in texts], dtype=bool)
+        return lambda texts: np.array([s < threshold for s, _, _ in m.scores(texts)], dtype=bool)
 
     return filter_texts(docs, text_col, make)
 

@@ -75,11 +75,46 @@ def test_toxicity(spark, odd, labels, docs):
     dense = np.zeros((300, 80))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for i in range(0, 300, 7):
-        near, cos = index.nearest(*vectors[i], 10)
-        s = dense @ dense[i]
-        best = np.sort(s)[::-1][:10]
-        assert np.allclose(cos, best[best > 0]) and np.allclose(s[near], cos)
+    found, opened = index.nearest(vectors, 10)
+    for i, (near, cos) in enumerate(found):
+        s = (dense @ dense[i]).round(12)
+        best = np.lexsort((np.arange(300), -s))[:10]
+        assert near.tolist() == best[s[best] > 0].tolist() and np.allclose(s[near], cos)
+    assert opened.min() < 1
+
+
+def test_toxicity_brute_force(spark, docs):
+    """Neighbours, votes and scores of the whole table against plain loops over all examples."""
+    rows = docs.join(common.table(spark, DIR, "labels"), "doc_id").filter(common.fold("doc_id", 4) != 2).orderBy("doc_id").collect()
+    toxic = np.array([r.toxic for r in rows])
+    model = toxicity.Model([r.text for r in rows], toxic, np.arange(len(rows)) % 4 == 3)
+    examples = [r for i, r in enumerate(rows) if i % 4 != 3]
+
+    def vector(text):
+        c = toxicity.terms(text)
+        w = {t: (1 + np.log(n)) * (model.weights[model.vocabulary[t]] if t in model.vocabulary else model.unseen) for t, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    known = [(vector(r.text), r.toxic) for r in examples]
+    some = docs.orderBy("doc_id").collect()
+    for r, (score, near, cosine) in zip(some, model.scores([r.text for r in some])):
+        v = vector(r.text)
+        best = sorted(((sum(x * e.get(t, 0) for t, x in v.items()), y) for e, y in known), reverse=True)[: model.k]
+        assert np.allclose(cosine, [c for c, _ in best if c > 5e-13])
+        w = [(c / (2 - c), y) for c, y in best]
+        vote = (sum(a * y for a, y in w) + 0.25 * model.rate) / (sum(a for a, _ in w) + 0.25)
+        cut = cosine[-1] + 1e-9 if len(cosine) == model.k else 0  # equal cosines at the last place may carry other labels
+        if sum(c >= cut - 2e-9 for c in (sum(x * e.get(t, 0) for t, x in v.items()) for e, _ in known)) <= model.k:
+            assert abs(score - 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * toxicity._logit(vote))))) < 1e-9
+
+
+def test_toxicity_long_sample_text(spark):
+    """A text beyond the bound of characters is left out; the others still teach."""
+    rows = [(i, "vile nasty words" if i % 2 else "calm plain words", i % 2) for i in range(40)] + [(40, "vile " * 1000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df, chars=900)
+    assert 10 < model.index.n < 40 and model.scores(["vile nasty"])[0][0] > 0.5 > model.scores(["calm plain"])[0][0]
 
 
 def test_toxicity_all_terms():
@@ -89,9 +124,9 @@ def test_toxicity_all_terms():
     toxic = np.array([i % 5 == 0 or i == 60 for i in range(64)], dtype=int)
     model = toxicity.Model(texts, toxic, np.arange(64) % 4 == 3)
     assert model.index.n == sum(i % 4 != 3 and bool(x) for i, x in enumerate(texts))
-    score, near, cosine = model.score("zorg blaf quux")
+    score, near, cosine = model.scores(["zorg blaf quux"])[0]
     assert len(near) and abs(cosine[0] - 1) < 1e-9 and model.labels[near[0]] == 1 and score > toxicity.THRESHOLD
-    _, _, cosine = model.score(plain + " " + " ".join(f"other{chr(97 + i)}" for i in range(26)) + " vile")
+    _, _, cosine = model.scores([plain + " " + " ".join(f"other{chr(97 + i)}" for i in range(26)) + " vile"])[0]
     assert cosine.max() < 0.99  # one toxic word is not the whole text
 
 
