@@ -1,20 +1,21 @@
 """Approximate nearest neighbours by cosine, with stable projections and kd-trees.
 
-Unit vectors are projected on a few Gaussian (2-stable) directions. A projected squared distance is then the true one
-times a chi-square variable, so once the projected distance of what is left makes a closer vector unlikely enough (the
-chi-square test against the k-th distance so far), the search stops. A small kd-tree fitted on a bounded sample deals all
-vectors to cells; each cell is a kd-tree of its own. A query first searches the cell it lies in, then all cells that its
-k-th distance does not rule out by the same test.
+Unit vectors are projected on Gaussian (2-stable) directions, made orthogonal. A projected squared distance is then the true one times a
+chi-square variable, so a vector whose projection lies further off than the chi-square quantile times the k-th squared
+distance so far is closer with a chance of less than one minus the confidence, and the search stops there. A kd-tree
+fitted on a bounded sample deals all vectors to cells, and cells of many rows to parts; each part is a kd-tree of its own.
+A query first searches the cell it lies in, then all cells that its k-th distance does not rule out by the same test. In a
+part, leaves come in order of their projected distance, and what passes the test is verified by its true cosine.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with
-a null id or another dimension than the most common one. A row repeated with its vector counts once. Equal vectors are
-searched as one, with their k+1 smallest ids, which is all of them that an answer can hold. With fewer than k candidates a
-query gets them all. Other columns are not looked at.
+a null id or another dimension than the most common one, between which there is no cosine. A row repeated with its vector
+counts once. An id with several vectors is several queries and candidates, none of which is its own neighbour. Equal
+vectors are searched as one, with their k+1 smallest ids, which is all of them that an answer can hold. With fewer than k
+candidates a query gets them all. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -30,12 +31,16 @@ from .common import table, written
 #: Fixed parameters of the query.
 K = 5
 EVERY = 50
-DIRECTIONS = 8
-#: The search stops when a closer vector is less likely than one minus this.
-CONFIDENCE = 0.99
-#: Rows of a cell and of a leaf, on average; bound of the sample that cells are fitted on; queries that one task takes.
+DIRECTIONS = 32
+#: The search stops when a closer vector is less likely than one minus CONFIDENCE; one closer by less than the factor
+#: APPROXIMATION need not be found. Directions are made orthogonal, so projections vary less than the test allows for.
+CONFIDENCE = 0.82
+APPROXIMATION = 1.0
+#: Rows of a part of a cell and of a leaf, on average; bound of the sample that cells are fitted on; queries that one task
+#: takes; leaves opened and vectors verified at a time.
 CELL_ROWS = 8_192
 LEAF_ROWS = 64
+LEAVES, VERIFY = 8, 64
 SAMPLE = 20_000
 TASK_QUERIES = 4_096
 SEED = 17
@@ -90,18 +95,10 @@ class KdTree:
         self.cuts[me] = (side, own[~left, side].min())
         return me
 
-    def near(self, q: np.ndarray):
-        """Leaves in order of the least squared distance that a point in them can have."""
-        heap = [(0.0, 0)]
-        while heap:
-            d, i = heapq.heappop(heap)
-            low, high, a, b, leaf = self.nodes[i]
-            if leaf >= 0:
-                yield d, self.leaves[leaf]
-                continue
-            for j in (a, b):
-                gap = np.maximum(0, np.maximum(self.nodes[j][0] - q, q - self.nodes[j][1]))
-                heapq.heappush(heap, (float(gap @ gap), j))
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the points of each leaf."""
+        leaves = sorted((n for n in self.nodes if n[4] >= 0), key=lambda n: n[4])
+        return np.array([n[0] for n in leaves]), np.array([n[1] for n in leaves])
 
     def cells(self, points: np.ndarray) -> np.ndarray:
         """The leaf that each point falls into, by the splits; every point falls into one."""
@@ -141,34 +138,55 @@ def _units(blobs, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return v, np.sqrt((v * v).sum(1))
 
 
+FOUND = "query_id long, vec_id long, score double, verified long"
+
+
 def search_cell(base: pd.DataFrame, queries: pd.DataFrame, kind: str, directions: np.ndarray, k: int, stop: float, leaf_rows: int) -> pd.DataFrame:
-    """The k nearest found in one cell for each query; `bound` is a query's k-th squared distance so far (or infinite)."""
+    """The k nearest found in one part of a cell for each query, and one row without a neighbour that says how many vectors
+    were verified; `bound` is a query's k-th squared distance so far (or infinite)."""
     v, norm = _units(list(base["vec"]), kind)
     q, q_norm = _units(list(queries["vec"]), kind)
-    unit = v / norm[:, None]
-    tree = KdTree(unit @ directions, leaf_rows)
+    points = (v / norm[:, None]) @ directions
+    tree = KdTree(points, leaf_rows)
+    low, high = tree.boxes()
     ids = [np.asarray(x) for x in base["ids"]]
     out = []
     for own, bound, x, x_norm in zip(queries["query_id"], queries["bound"], q, q_norm):
         best: list[tuple[float, int]] = []
-        limit = float(bound)
-        for gap, rows in tree.near((x / x_norm) @ directions):
-            # A vector at most `limit` away lies beyond `gap` with a chance of less than one minus the confidence.
-            if gap > stop * limit:
+        limit, verified = float(bound), 0
+        at = (x / x_norm) @ directions
+        gap = np.maximum(0, np.maximum(low - at, at - high))
+        gap = (gap * gap).sum(1)
+        order = np.argsort(gap, kind="stable")
+        for a in range(0, len(order), LEAVES):
+            leaves = order[a : a + LEAVES]
+            leaves = leaves[gap[leaves] <= stop * limit]
+            if not len(leaves):
                 break
-            cosine = (v[rows] * x).sum(1) / (norm[rows] * x_norm)
-            close = rows if limit == math.inf else rows[2 - 2 * cosine <= limit + 1e-9]
-            if len(close):
-                score = dict(zip(rows.tolist(), cosine.tolist()))
-                best = sorted([*best, *((-score[r], int(i)) for r in close.tolist() for i in ids[r] if i != own)])[:k]
-                if len(best) == k:
-                    limit = min(limit, max(0.0, 2 + 2 * best[-1][0]))
-        out += [(own, i, -s) for s, i in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, directions: int = DIRECTIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score for each valid row of `queries` (same columns), against all rows of `vectors`."""
+            rows = np.concatenate([tree.leaves[i] for i in leaves])
+            far = points[rows] - at
+            far = (far * far).sum(1)
+            to = np.flatnonzero(far <= stop * limit)
+            to = to[np.argsort(far[to], kind="stable")]
+            while len(to):
+                now, to = to[:VERIFY], to[VERIFY:]
+                cosine = (v[rows[now]] * x).sum(1) / (norm[rows[now]] * x_norm)
+                verified += len(now)
+                close = np.flatnonzero(2 - 2 * cosine <= limit + 1e-9)
+                if len(close):
+                    best = sorted([*best, *((-cosine[c], int(i)) for c in close.tolist() for i in ids[rows[now[c]]] if i != own)])[:k]
+                    if len(best) == k and (d := max(0.0, 2 + 2 * best[-1][0])) < limit:
+                        limit = d
+                        to = to[: np.searchsorted(far[to], stop * limit, "right")]
+        out += [(own, i, -s, 0) for s, i in best]
+        out.append((own, None, None, verified))
+    got = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"])
+    return got.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "int64"})
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, directions: int = DIRECTIONS, confidence: float = CONFIDENCE, approximation: float = APPROXIMATION, cell_rows: int = CELL_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> DataFrame:
+    """query_id, rank, vec_id, score and verified (vectors whose cosine was computed for the query) for each valid row of
+    `queries` (same columns), against all rows of `vectors`."""
     spark = vectors.sparkSession
     double = isinstance(vectors.schema[vec_col].dataType.elementType, T.DoubleType)
     element, kind = ("double", "<f8") if double else ("float", "<f4")
@@ -180,7 +198,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
 
     base = valid(vectors)
     first = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     if first is None:
         return empty
     dim, n = first["d"], first["count"]
@@ -189,6 +207,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
     base = base.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     base = base.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     matrix = np.random.default_rng(seed).standard_normal((dim, directions))
+    if directions <= dim:
+        matrix = np.linalg.qr(matrix)[0] * math.sqrt(dim)
 
     def pack(frame: DataFrame, keep: str, extra: str) -> DataFrame:
         """Arrays as bytes; a projection is computed where it is needed."""
@@ -212,7 +232,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
     n_cells = max(1, round(n / cell_rows))
     top = KdTree((v / norm[:, None]) @ matrix, max(1, -(-len(sample) // n_cells)))
     low, high = top.regions()
-    stop = chi2_quantile(confidence, directions)
+    stop = chi2_quantile(confidence, directions) / approximation**2
 
     def place(batches):
         for b in batches:
@@ -220,26 +240,29 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top.cells((v / norm[:, None]) @ matrix))], names=[*b.schema.names, "cell"])
 
-    base = base.mapInArrow(place, "ids array<long>, vec binary, cell long")
+    base = written(base.mapInArrow(place, "ids array<long>, vec binary, cell long"), "nearest-cells")
+    parts = written(base.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell_rows)).cast("int").alias("parts")), "nearest-parts")
     home = asked.mapInArrow(place, "query_id long, vec binary, cell long").withColumn("bound", F.lit(float("inf")))
 
     def searched(asks: DataFrame) -> DataFrame:
-        """Cells with many queries are searched by several tasks, each with the cell's rows and a share of the queries."""
+        """A cell's rows are dealt to parts, its queries to shares; a task searches one part for one share."""
         asks = written(asks, "nearest-asks")
-        shares = asks.groupBy("cell").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("shares"))
-        asks = asks.join(shares, "cell").withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int")).drop("shares")
-        rows = base.join(shares, "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        shares = asks.groupBy("cell").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("shares")).join(parts, "cell")
+        both = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asks = asks.join(shares, "cell").withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int")).withColumn("part", both("parts")).drop("shares", "parts")
+        rows = base.join(shares, "cell").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")).withColumn("share", both("shares")).drop("shares", "parts")
 
         def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "verified": []}).astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "int64"})
             return search_cell(left, right, kind, matrix, k, stop, leaf_rows)
 
-        return rows.groupBy("cell", "share").cogroup(asks.groupBy("cell", "share")).applyInPandas(fn, "query_id long, vec_id long, score double")
+        return rows.groupBy("cell", "part", "share").cogroup(asks.groupBy("cell", "part", "share")).applyInPandas(fn, FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = found.filter("vec_id is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.drop("verified")
 
     found = written(searched(home), "nearest-home")
     far = best(found).groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("s"))
@@ -265,7 +288,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([out.column("query_id"), out.column("vec"), pa.array(np.concatenate(cell)), out.column("bound")], names=["query_id", "vec", "cell", "bound"])
 
     asks = asks.select("query_id", "vec", "cell", "bound").mapInArrow(route, "query_id long, vec binary, cell long, bound double")
-    return best(found.unionByName(searched(asks))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = written(found.unionByName(searched(asks)), "nearest-found")
+    verified = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    return best(found).join(verified, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
