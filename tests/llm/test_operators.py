@@ -175,9 +175,42 @@ def examples(parsed):
 
 
 def test_license_gates():
-    for label, key, expr, _, _ in license_scan.rules():
+    made = license_scan.rules()
+    gates = license_scan.gates(made)
+    assert len({x for _, _, x, *_ in made}) > 480 and len(license_scan.NAMES) + len(license_scan.CONTEXTS) + len(license_scan.NOTICES) + len(license_scan.SIGNATURES) > 250
+    for label, keys, expr, _, _ in made:
         for text in examples(re._parser.parse(expr)):
-            assert re.fullmatch(expr, text) and key in f" {text} " and any(g in f" {text} " for g in license_scan.GATES), (label, key, text)
+            assert re.fullmatch(expr, text) and all(k in f" {text} " for k in keys) and any(g in f" {text} " for g in gates), (label, keys, text)
+
+
+def plain_scan(text):
+    """Labels and score by plain loops over all rules, without gates."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({i: i + 32 for i in range(65, 91)}))
+    norm = f" {' '.join(words)} "
+    hits = [(m.start(), -m.end(), -p, i, label, s) for i, (label, _, x, p, s) in enumerate(license_scan.rules()) for m in re.finditer(f"(?<= )(?:{x})(?= )", norm)]
+    kept = []
+    for h in sorted(hits):
+        if not any(o is not h and o[0] <= h[0] and o[1] <= h[1] and o[2] <= h[2] and (o[:3] != h[:3] or o < h) for o in hits):
+            kept.append(h)
+    base = {label for p, label in license_scan.BASE if f" {p} " in norm}
+    return ",".join(sorted(base | {h[4] for h in kept})), max((h[5] for h in kept), default=0.0), [(h[4], norm[: h[0]].count(" ") - 1) for h in kept]
+
+
+def test_license_brute_force(spark, docs, texts):
+    own = {i: t for i, t in texts.items() if i % 5 == 0}
+    picked = [t for _, _, x, *_ in license_scan.rules()[::7] for t in examples(re._parser.parse(x))[:2]]
+    own |= {-1 - i: f"Some words first. {a}! And {b}; then {a}." for i, (a, b) in enumerate(zip(picked, picked[7:]))}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        labels, score, places = plain_scan(own[r.doc_id])
+        assert (r.labels, r.score, [(h.label, h.first_word) for h in r.hits]) == (labels, score, places), own[r.doc_id]
+
+
+def test_license_own_rules(spark):
+    """A caller's rule needs no other keyword than its own; a text full of hits takes time in proportion."""
+    df = spark.createDataFrame([(1, "the Wombat clause, twice: wombat clause"), (2, "x under the mit license y " * 8000)], "doc_id long, text string")
+    out = {r.doc_id: r for r in license_scan.scan_licenses(df, signature_rules=[("wombat", "wombat", "wombat clause", 5, 0.5)]).collect()}
+    assert out[1].labels == "wombat" and [h.first_word for h in out[1].hits] == [1, 4] and (out[2].n_base, out[2].last_word) == (8000, 47995)
 
 
 def test_license_names_without_the_usual_word(spark):
