@@ -21,6 +21,8 @@ from .common import map_file, mix64, open_folder
 BUCKET_BYTES = 2 << 20
 FILE_BUCKETS = 128
 MAPPED = 4_096
+#: Zero bits at the end of keys of 48 bits.
+SPARE = 16
 #: Files that small inputs are spread over, so that many tasks merge.
 FILES = 48
 ROWS = "file int, kind int, bucket int, keys binary, counts binary"
@@ -54,16 +56,22 @@ class Layout:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys, as 32-bit differences where they fit."""
+    """Sorted keys, as 32-bit differences where they fit; keys that end in SPARE zero bits are told without them."""
     gaps = np.diff(keys)
-    if len(gaps) and gaps.max() < 1 << 32:
-        return b"\x04" + keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
-    return b"\x08" + keys.tobytes()
+    if len(gaps):
+        low = SPARE if not (keys & np.uint64((1 << SPARE) - 1)).any() else 0
+        gaps >>= np.uint64(low)
+        if gaps.max() < 1 << 32:
+            return bytes([low]) + keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    return b"\xff" + keys.tobytes()
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    keys = np.frombuffer(data, np.uint64, 1 if data[0] == 4 else -1, 1)
-    return np.concatenate([keys, keys[0] + np.cumsum(np.frombuffer(data, np.uint32, -1, 9), dtype=np.uint64)]) if data[0] == 4 else keys
+    if data[0] == 0xFF:
+        return np.frombuffer(data, np.uint64, -1, 1)
+    first = np.frombuffer(data, np.uint64, 1, 1)
+    gaps = np.frombuffer(data, np.uint32, -1, 9).astype(np.uint64) << np.uint64(data[0])
+    return np.concatenate([first, first + np.cumsum(gaps, dtype=np.uint64)])
 
 
 def packed(values: np.ndarray) -> bytes:

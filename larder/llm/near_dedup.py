@@ -5,18 +5,20 @@ Consistent weighted samples agree with the probability of the weighted Jaccard s
 Texts with the same words are one member each. In every bucket all members are compared with its smallest one; exact
 weighted Jaccard similarities of those texts give the links, and links give classes. A bucket whose members then still
 belong to several classes gets a second look: blocks of its members are compared with each other by their samples, and
-pairs of different classes that agree well enough are verified like the others.
+pairs of different classes that agree well enough are verified like the others. What agrees well enough follows from the
+similarity: a pair that has it agrees less with a chance of FILTER_MISS for each of the two filters.
 
-Document frequencies are counted over all documents in a table of hashed shingles of fixed size, so that it can be
-broadcast. Common shingles are exact up to the load of a cell; rare ones share the cells' mean load.
+Document frequencies are exact: all shingles are counted in Spark, and those of two documents or more are kept in sorted
+hash arrays (48 bits of hash) that tasks map; any other shingle has one.
 
 Defined results: a text with fewer than five words is one shingle of all its words. A text without a word (null, empty)
-is a class of its own. Rows with a null id take no part. A repeated id is one document, with the text of the smallest
-hash. Classes are named by their smallest id. Other columns are not looked at; an empty table gives no row.
+is a class of its own. Rows with a null id take no part. A repeated id is one document, with one of its texts, chosen by
+their hashes. Classes are named by their smallest id. Other columns are not looked at; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, checked, low_words, mix64, release, rounds, table, written
+from . import hash_arrays as H
+from .common import Codes, checked, low_words, mix64, release, rounds, scratch, table, written
 
 #: Fixed parameters of the query.
 SHINGLE = 5
@@ -35,19 +38,20 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: How much of a weight the inverse document frequency makes: 1 + DAMP * log(N / df) / log(N).
 DAMP = 0.25
-#: Cells of the table of document frequencies, and of the tables of random numbers.
-CELLS = 1 << 20
+#: Shingles that a task counts before it deals them out.
+FLUSH = 1_500_000
+#: Rows of the tables of random numbers.
 SLOTS = 1 << 16
-CHUNKS = 64
 SEED = 29
-#: Members of a bucket that are compared with each other at a time; samples (of BANDS * ROWS) that a pair must share
-#: there. A pair of the similarity sought shares fewer with a chance of about 1 in 10,000.
+#: Members of a bucket that are compared with each other at a time.
 BLOCK = 512
-SHARED = 39
-#: Buckets of more members are compared by WIDE turns of samples as well, of which a pair must share WIDE_SHARED (a pair
-#: of the similarity sought shares fewer with a chance of about 1 in 10,000), so that few pairs come to be verified.
+#: Chance that a filter of the second look loses a pair that has just the similarity sought.
+FILTER_MISS = 1e-4
+#: Buckets of more members are compared by WIDE turns of samples as well, so that few pairs come to be verified.
 BIG = 24
-WIDE, WIDE_SHARED = 16, 0.755
+WIDE = 16
+#: Keys of one text or class that meet in a task are dealt over so many tasks.
+SALTS = 32
 #: Elements whose samples are computed at a time.
 AT_ONCE = 2_048
 
@@ -92,44 +96,80 @@ def _parts(texts: list) -> Iterator[tuple[int, int]]:
             yield i, min(b, i + 4096)
 
 
-def document_frequencies(docs: DataFrame, text_col: str, shingle: int = SHINGLE, cells: int = CELLS) -> tuple[np.ndarray, int]:
-    """Documents per cell of hashed shingles, and documents. The result has a fixed size; each task sends that at most."""
+def least_agreement(similarity: float, samples: int, other: float = 0.0, miss: float = FILTER_MISS) -> int:
+    """The largest number of agreeing samples that a pair of the similarity falls short of with a chance of `miss` at most;
+    samples that differ agree with the chance `other`."""
+    p, total = similarity + (1 - similarity) * other, 0.0
+    for k in range(samples + 1):
+        total += math.exp(math.lgamma(samples + 1) - math.lgamma(k + 1) - math.lgamma(samples - k + 1) + k * math.log(p) + (samples - k) * math.log1p(-p)) if 0 < p < 1 else float(k == samples * (p > 0))
+        if total > miss:
+            return k
+    return samples
+
+
+class Weights:
+    """How to find a shingle's weight: where document frequencies lie, and how many documents there are."""
+
+    def __init__(self, folder: str, layout: H.Layout, n: int, damp: float):
+        self.folder, self.layout, self.n, self.damp = folder, layout, max(n, 2), damp
+
+    def reader(self):
+        """A function of shingles' hashes, for one task."""
+        arrays = H.Reader(self.folder, self.layout)
+        log_n = math.log(self.n)
+
+        def weights(h: np.ndarray) -> np.ndarray:
+            df = np.clip(arrays.find("df", _df_key(h))[:, 0], 1, self.n)
+            return 1 + self.damp * (log_n - np.log(df)) / log_n
+
+        return weights
+
+
+def _df_key(h: np.ndarray) -> np.ndarray:
+    """48 of the 52 bits of a shingle's hash, as the upper bits of a key."""
+    return (h >> np.uint64(4)) << np.uint64(16)
+
+
+def document_frequencies(docs: DataFrame, text_col: str, shingle: int = SHINGLE, damp: float = DAMP) -> Weights:
+    """Counts the documents of every shingle. Tasks deal their own rows' sums over ranges of hashes; each range is summed
+    and written to the shared folder, and only the number of documents comes to the driver."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(text_col).cast("string").alias("text"))
+    layout = H.Layout(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    folder = scratch(spark, "near-df")
 
     def count(batches):
-        shingles, total, n = Shingles(shingle), np.zeros(cells, dtype=np.int64), 0
+        shingles, held, size, n = Shingles(shingle), [], 0, 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in _parts(texts):
                 _, h, _, keys = shingles(texts[i:j])
-                total += np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells)
+                held.append(_df_key(h))
+                size += len(h)
                 n += sum(k is not None for k in keys)
-        if n:
-            size = cells // CHUNKS
-            kind = np.int32 if total.max() < 1 << 31 else np.int64
-            rows = [total[i * size : (i + 1) * size] for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([len(r) and kind(0).itemsize for r in rows], pa.int32()), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.array([n if i == 0 else 0 for i in range(CHUNKS)], pa.int64())], names=["chunk", "width", "counts", "n"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(cells // CHUNKS, dtype=np.int64), 0
-        for b in batches:
-            for w, c, k in zip(b.column("width").to_pylist(), b.column("counts").to_pylist(), b.column("n").to_pylist()):
-                total += np.frombuffer(c, np.int32 if w == 4 else np.int64)
-                n += k
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["chunk", "counts", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "chunk int, width int, counts binary, n long")
-    out, n = np.zeros(cells, dtype=np.int64), 0
-    for r in counted.groupBy("chunk").applyInArrow(add, "chunk int, counts binary, n long").collect():
-        size = cells // CHUNKS
-        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-        n += r["n"]
-    return out, n
+                if size >= FLUSH:
+                    yield H.batch(layout.deal(0, *np.unique(np.concatenate(held), return_counts=True)))
+                    held, size = [], 0
+        if size:
+            yield H.batch(layout.deal(0, *np.unique(np.concatenate(held), return_counts=True)))
+        yield H.batch([(0, 1, 0, H.packed_keys(np.zeros(1, np.uint64)), H.packed(np.array([n])))])
+        release()
 
+    def merge(batches):
+        writer, n = H.Writer(folder), 0
+        for file, kind, _, keys, values in H.buckets(batches, {0: 1, 1: 1}):
+            if kind:
+                n += int(values.sum())
+                continue
+            often = values[:, 0] > 1
+            if often.any():
+                writer.add(f"df-{file}", keys[often], values[often])
+        writer.close()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-def cell_weights(df: np.ndarray, n: int, damp: float = DAMP) -> np.ndarray:
-    """Weight of a shingle by cell."""
-    n = max(n, 2)
-    return (1 + damp * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
+    n = H.dealt(source.mapInArrow(count, H.ROWS), layout).mapInArrow(merge, "n long").agg(F.sum("n")).first()[0]
+    return Weights(folder, layout, n or 0, damp)
 
 
 class Sampler:
@@ -173,11 +213,18 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, words (16 bytes that are equal where all words are), bands (keys) and samples (4 bytes each) of texts with a word."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and a hash of the text, which tells a repeated id's texts apart."""
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return df.filter(F.col("id").isNotNull()).withColumn("th", F.xxhash64("text"))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, weights: Weights, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, th, words (16 bytes that are equal where all words are), bands (keys) and samples (4 bytes each) of texts with a
+    word."""
 
     def run(batches):
-        shingles, sampler, cells = Shingles(shingle), Sampler(bands * rows), np.uint64(len(weights))
+        shingles, sampler, weight = Shingles(shingle), Sampler(bands * rows), weights.reader()
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in _parts(texts):
@@ -186,54 +233,53 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray,
                 if not have.any():
                     continue
                 place = np.cumsum(have) - 1
-                s = mix64(sampler(place[owner], h, count * weights[(h % cells).astype(np.int64)], int(have.sum())))
+                s = mix64(sampler(place[owner], h, count * weight(h), int(have.sum())))
                 band = np.zeros((len(s), bands), dtype=np.uint64)
                 for r in range(rows):
                     band = mix64(band * np.uint64(31) + s[:, r::rows])
                 band = mix64(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                ids = b.column(0).slice(i, j - i).filter(pa.array(have))
+                ids, th = (b.column(c).slice(i, j - i).filter(pa.array(have)) for c in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([k for k in keys if k is not None], pa.binary()), pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * bands, band.ravel()), pa.array([x.tobytes() for x in (s >> np.uint64(32)).astype(np.uint32)], pa.binary())],
-                    names=["id", "words", "bands", "samples"],
+                    [ids, th, pa.array([k for k in keys if k is not None], pa.binary()), pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * bands, band.ravel()), pa.array([x.tobytes() for x in (s >> np.uint64(32)).astype(np.uint32)], pa.binary())],
+                    names=["id", "th", "words", "bands", "samples"],
                 )
         release()
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
-    return source.mapInArrow(run, "id long, words binary, bands array<long>, samples binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, th long, words binary, bands array<long>, samples binary")
 
 
-def wide_samples(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE, samples: int = BANDS * ROWS, turns: int = WIDE) -> DataFrame:
-    """id and `samples * turns` samples, a byte each, of the texts of ids."""
+def wide_samples(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, weights: Weights, shingle: int = SHINGLE, samples: int = BANDS * ROWS, turns: int = WIDE) -> DataFrame:
+    """id and `samples * turns` samples, a byte each, of the texts of need (id, th)."""
 
     def run(batches):
-        shingles, sampler, cells = Shingles(shingle), Sampler(samples), np.uint64(len(weights))
+        shingles, sampler, weight = Shingles(shingle), Sampler(samples), weights.reader()
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in _parts(texts):
                 owner, h, count, _ = shingles(texts[i:j])
-                w = count * weights[(h % cells).astype(np.int64)]
+                w = count * weight(h)
                 s = np.concatenate([(mix64(sampler(owner, h, w, j - i, t + 1)) >> np.uint64(56)).astype(np.uint8) for t in range(turns)], 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "wide"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(checked(written(ids, "near-need")), "id", "left_semi")
-    return texts.mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
+    texts = _texts(docs, id_col, text_col).join(checked(written(need, "near-need")), ["id", "th"], "left_semi")
+    return texts.select("id", "text").mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """a, b and the exact weighted Jaccard similarity of their texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    need = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-need")
-    texts = written(texts.join(checked(need), "id", "left_semi"), "near-texts")
+def similarities(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, weights: Weights, shingle: int = SHINGLE) -> DataFrame:
+    """a, b and the exact weighted Jaccard similarity of their texts, which reps (id, th) name."""
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    need = written(reps.select("id", "th").join(need, "id", "left_semi"), "near-need")
+    texts = written(_texts(docs, id_col, text_col).join(checked(need), ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "near-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
     def run(batches):
-        shingles, cells = Shingles(shingle), np.uint64(len(weights))
+        shingles, weight = Shingles(shingle), weights.reader()
         for batch in batches:
             ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             both, out = [x for p in zip(ta, tb) for x in p], []
             for i in range(0, len(both), 64):
                 owner, h, count, _ = shingles(both[i : i + 64])
-                w = count * weights[(h % cells).astype(np.int64)].astype(float)
+                w = count * weight(h)
                 ends = np.searchsorted(owner, np.arange(min(64, len(both) - i) + 1))
                 for p in range(0, len(ends) - 1, 2):
                     x, y, z = ends[p : p + 3]
@@ -246,11 +292,12 @@ def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """id, class (the smallest id that links reach) of each linked id, by alternating large- and small-star steps."""
+def components(links: DataFrame) -> DataFrame:
+    """id, class (the smallest id that links reach) of each linked id, by alternating large- and small-star steps until
+    nothing changes; they take about log(longest chain) rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "near-edges")
     last = None
-    for _ in range(most):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Larger neighbours move to the smallest one.
@@ -265,7 +312,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
-def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shared: int = SHARED, wide_shared: float = WIDE_SHARED) -> DataFrame:
+def second_look(buckets: DataFrame, samples: DataFrame, shared: int, wide_shared: int, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of one bucket (bucket, id, class) but different classes that share samples enough (id, samples, wide).
 
     A bucket's members are dealt to blocks; each pair of blocks is one group, so no task holds a whole bucket.
@@ -290,7 +337,7 @@ def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shar
                 same = bands[to] == bands[x]
                 to = to[bands[x][same.argmax(1)] == bucket]  # in the first bucket that both are in
                 if wide is not None:
-                    to = to[(wide[to] == wide[x]).mean(1) >= wide_shared]
+                    to = to[(wide[to] == wide[x]).sum(1) >= wide_shared]
                 out.append(np.stack([np.full(len(to), ids[x]), ids[to]], 1))
         release()
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
@@ -299,53 +346,68 @@ def second_look(buckets: DataFrame, samples: DataFrame, block: int = BLOCK, shar
     return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, damp: float = DAMP, cells: int = CELLS) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, damp: float = DAMP) -> DataFrame:
     """id, class_id, class_size, n_links (verified links of the document's text to different texts) per distinct id."""
     docs = docs.select(id_col, text_col)
-    weights = cell_weights(*document_frequencies(docs, text_col, shingle, cells), damp)
+    weights = document_frequencies(docs, text_col, shingle, damp)
     sig = written(signatures(docs, id_col, text_col, weights, shingle, bands, rows), "near-signatures")
-    # One text per id, then one member per text.
-    one = sig.groupBy("id").agg(F.min("words").alias("words"))
-    members = one.groupBy("words").agg(F.min("id").alias("rep"))
-    one = written(one.join(members, "words").select("id", "rep"), "near-members")
-    reps = sig.join(members, (sig["id"] == members["rep"]) & (sig["words"] == members["words"]), "left_semi").dropDuplicates(["id"])
+    # One text per id, then one member per text: first for each share of a text's ids, so that no task gets them all.
+    one = sig.groupBy("id").agg(F.min(F.struct("words", "th")).alias("t")).select("id", "t.words", "t.th", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    one = written(one, "near-ids")
+    shares = written(one.groupBy("words", "salt").agg(F.min(F.struct("id", "th")).alias("t"), F.count("*").alias("n")), "near-shares")
+    members = written(shares.groupBy("words").agg(F.min("t").alias("t"), F.sum("n").alias("n")).select("words", F.col("t.id").alias("rep"), "t.th", "n"), "near-members")
+    reps = sig.join(members.select(F.col("rep").alias("id"), "th"), ["id", "th"], "left_semi").dropDuplicates(["id"])
     keys = reps.select("id", F.explode("bands").alias("bucket"))
     first = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     keys = written(keys.join(first, "bucket").select("bucket", "a", "id"), "near-buckets")
     pairs = written(keys.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-pairs")
-    links = written(similarities(pairs, docs, id_col, text_col, weights, shingle).filter(F.col("similarity") >= similarity), "near-links")
+    named = members.select(F.col("rep").alias("id"), "th")
+    links = written(similarities(pairs, named, docs, id_col, text_col, weights, shingle).filter(F.col("similarity") >= similarity), "near-links")
     found = written(components(links), "near-classes")
     classed = keys.join(found, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
     mixed = written(classed.join(mixed.select("bucket", "n"), "bucket"), "near-mixed")
     big, small = mixed.filter(F.col("n") > BIG).drop("n"), mixed.filter(F.col("n") <= BIG).drop("n")
     samples = reps.select("id", "samples", "bands")
-    rest = second_look(small, samples.withColumn("wide", F.lit(None).cast("binary")))
+    least = least_agreement(similarity, bands * rows), least_agreement(similarity, bands * rows * WIDE, 1 / 256)
+    rest = second_look(small, samples.withColumn("wide", F.lit(None).cast("binary")), *least)
     if not big.isEmpty():
-        wide = written(wide_samples(docs, big.select("id").distinct(), id_col, text_col, weights, shingle, bands * rows), "near-wide")
-        rest = rest.union(second_look(big, samples.join(wide, "id"))).distinct()
+        need = named.join(big.select("id").distinct(), "id", "left_semi")
+        wide = written(wide_samples(docs, need, id_col, text_col, weights, shingle, bands * rows), "near-wide")
+        rest = rest.union(second_look(big, samples.join(wide, "id"), *least)).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    more = written(similarities(rest, docs, id_col, text_col, weights, shingle).filter(F.col("similarity") >= similarity), "near-links")
+    more = written(similarities(rest, named, docs, id_col, text_col, weights, shingle).filter(F.col("similarity") >= similarity), "near-links")
     links = links.union(more)
     found = written(components(links), "near-classes")
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = one.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = out.select("id", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    size = out.groupBy("class_id").agg(F.min("id").alias("least"), F.count("*").alias("class_size"))
-    out = out.join(size, "class_id").select(F.col("id").alias(id_col), F.col("least").alias("class_id"), "class_size", "n_links")
+    # Classes of members, then of ids: a hot class is dealt by its members, a hot text by the shares of its ids.
+    classed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    classed = classed.select("words", "n", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = classed.withColumn("share", F.pmod(F.xxhash64("words"), F.lit(SALTS)))
+    parts = classed.groupBy("class_id", "share").agg(F.sum("n").alias("n"))
+    size = parts.groupBy("class_id").agg(F.sum("n").alias("class_size"))
+    classed = classed.drop("n").join(parts.select("class_id", "share").join(size, "class_id"), ["class_id", "share"])
+    shares = shares.select("words", "salt").join(classed.select("words", "class_id", "class_size", "n_links"), "words")
+    out = one.select("id", "words", "salt").join(shares, ["words", "salt"]).select(F.col("id").alias(id_col), "class_id", "class_size", "n_links")
     empty = docs.select(F.col(id_col).cast("long").alias(id_col)).filter(F.col(id_col).isNotNull()).distinct().join(one.select(F.col("id").alias(id_col)), id_col, "left_anti")
     return out.union(empty.select(id_col, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")))
 
 
+def _first_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """Of the rows that repeat an id the one of the smallest hash over all columns that can be hashed, so that reruns agree."""
+    can = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return docs.withColumn("__near_hash", F.xxhash64(*can)).groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__near_hash").alias("__near_row")).select("__near_row.*")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """The rows, with all their columns, but for documents that are not the smallest id of their class. Rows with a null
-    id stay; of rows that repeat an id one stays."""
+    id stay; of rows that repeat an id the one of the smallest hash stays."""
     gone = written(near_classes(docs, id_col, **params).filter(F.col(id_col) != F.col("class_id")).select(id_col), "near-gone")
     kept = docs.join(checked(gone), id_col, "left_anti").select(*docs.columns)
     twice = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
     if twice.isEmpty():
         return kept
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(_first_rows(kept.join(twice, id_col, "left_semi").select(*docs.columns), id_col))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

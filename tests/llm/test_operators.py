@@ -270,11 +270,41 @@ def test_language_held_out(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
-def weighted(texts, weights):
-    shingles = near_dedup.Shingles(5)
-    owner, h, count, _ = shingles(texts)
-    w = count * weights[(h % np.uint64(len(weights))).astype(np.int64)].astype(float)
-    return [dict(zip(h[owner == i].tolist(), w[owner == i].tolist())) for i in range(len(texts))]
+def weighted(texts, damp=near_dedup.DAMP):
+    """Each text's shingles and weights, by plain counting over words."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter())
+    df, n = Counter(k for s in sets for k in s), max(sum(map(bool, sets)), 2)
+    return [{k: c * (1 + damp * np.log(n / df[k]) / np.log(n)) for k, c in s.items()} for s in sets]
+
+
+def classes(sets, similarity=0.8):
+    """The smallest member of everyone's class, by comparing all pairs."""
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    total = [sum(s.values()) for s in sets]
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for k in s:
+            holders.setdefault(k, []).append(i)
+    for a, s in enumerate(sets):
+        inter: Counter = Counter()
+        for k, v in s.items():
+            for b in holders[k]:
+                if b < a:
+                    inter[b] += min(v, sets[b][k])
+        for b, x in inter.items():
+            if x >= similarity * (total[a] + total[b] - x) - 1e-12:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
 
 
 def test_near_dedup(spark, odd):
@@ -294,21 +324,35 @@ def test_near_dedup(spark, odd):
                 t[i] = f"e{g}x{k}y{i}"
             texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    weights = near_dedup.cell_weights(*near_dedup.document_frequencies(df, "text"))
-    sets, parent = weighted(texts, weights), list(range(len(texts)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if sum(min(v, sets[b].get(k, 0)) for k, v in sets[a].items()) >= 0.8 / 1.8 * (sum(sets[a].values()) + sum(sets[b].values())):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()}
-    assert got == {i: root(i) for i in range(len(texts))}
+    assert got == dict(enumerate(classes(weighted(texts))))
+    low = {r.doc_id: r.class_id for r in near_dedup.near_classes(df, similarity=0.6, bands=32, rows=2).collect()}
+    assert low == dict(enumerate(classes(weighted(texts), 0.6)))
+
+
+def test_near_dedup_whole_table(spark, docs, texts):
+    """Classes of the whole table equal those of all pairs."""
+    ids = sorted(texts)
+    want = {i: ids[c] for i, c in zip(ids, classes(weighted([texts[i] for i in ids])))}
+    assert {r.doc_id: r.class_id for r in queries.QUERIES["op6_near_dedup"](spark, DIR).collect()} == want
+
+
+def test_near_dedup_repeated_ids(spark):
+    """An id with two texts has one of them everywhere, whatever the order of rows."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, a)]
+    got = [{r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and sorted(got[0].values()) in ([1, 1, 3], [1, 1, 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(near_dedup.one_of_each(df).collect()) == sorted(near_dedup.one_of_each(df.orderBy(F.desc("text"))).collect())
+
+
+def test_near_dedup_filters():
+    for samples, other in ((64, 0.0), (1024, 1 / 256), (128, 0.0)):
+        for similarity in (0.5, 0.8, 0.95, 1.0):
+            k, p = near_dedup.least_agreement(similarity, samples, other), similarity + (1 - similarity) * other
+            rng = np.random.default_rng(2)
+            assert (rng.binomial(samples, p, 200_000) < k).mean() < 3e-4 and k > samples * (p - 0.3)
 
 
 def test_lm_scoring(odd, docs, texts):
