@@ -247,6 +247,39 @@ def test_url_filter_hosts_without_outcomes(spark):
     assert abs(rep["far.away"].mean - total) < 1e-12 and rep["new.bad.test"].mean > 0.8 and rep["other.test"].n == rep["odd.test"].n == 0
 
 
+def test_beta():
+    """Against integration by the midpoint rule."""
+    t = (np.arange(2_000_000) + 0.5) / 2_000_000
+    for a, b in ((0.7, 2.0), (3.0, 3.0), (40.0, 7.0), (1.5, 90.0), (400.0, 500.0)):
+        f = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t)
+        c = np.cumsum(np.exp(f - f.max()))
+        c /= c[-1]
+        for x in (0.05, 0.35, 0.5, 0.9):
+            assert abs(url_filter.beta_cdf(x, np.array([a]), np.array([b]))[0] - c[int(x * 2_000_000) - 1]) < 2e-4
+        q = url_filter.beta_quantile(0.05, np.array([a]), np.array([b]))[0]
+        assert abs(url_filter.beta_cdf(q, np.array([a]), np.array([b]))[0] - 0.05) < 1e-9
+
+
+def test_url_domains(spark):
+    want = {"www.bbc.co.uk": ("bbc.co.uk", "co.uk"), "a.b.example.com:8080": ("example.com", "com"), "u:p@x.example.org.": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+            "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "x.ac.jp": ("x.ac.jp", "ac.jp")}
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r.h: (r.d, r.s) for r in df.select("h", url_filter.registered_domain(F.col("h")).alias("d"), url_filter.public_suffix(F.col("h")).alias("s")).collect()} == want
+
+
+def test_url_odd_inputs(spark, monkeypatch):
+    """Repeated ids, a very long url, empty tables; the salted join gives the same rows as the broadcast one."""
+    rows = [(1, "http://a.test/x"), (1, "http://a.test/x"), (1, None), (2, "http://b.test/" + "p" * 200_000), (None, "http://a.test/y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as salt", "2 as host", "3 as n")
+    outcomes = spark.createDataFrame([("http://a.test/q", True)] * 30 + [(f"http://c{i % 5}.test/q", False) for i in range(200)], "url string, bad boolean")
+    key = lambda r: (r.page_id or 0, r.host, len(r.path), r.verdict)
+    got = sorted(map(key, url_filter.filter_urls(pages, outcomes).collect()))
+    assert len(got) == 5 and [v for *_, v in got].count("block") == 3
+    monkeypatch.setattr(url_filter, "BROADCAST_IDS", 0)
+    assert sorted(map(key, url_filter.filter_urls(pages, outcomes).collect())) == got
+    assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0 and url_filter.filter_urls(pages, outcomes.limit(0)).count() == 5
+
+
 def test_language_id(odd, docs):
     crf = language_id.fit(odd)
     out = {r.doc_id: r for r in language_id.identify(odd, crf).collect()}
@@ -264,6 +297,21 @@ def test_language_id(odd, docs):
         at += k
 
 
+def test_language_words(spark):
+    """No letter, no language; marks belong to words; every language teaches, a rare one and short texts too."""
+    assert language_id.words_of("½ ² ① 123 _ ̀") == [] and language_id.words_of("हिन्दी Naïve cafe\u0301 x²") == ["हिन्दी", "naïve", "cafe\u0301", "x"]
+    rows = [(i, "the cat and the dog are here", "en") for i in range(400)] + [(1000 + i, "eta beta", "xx") for i in range(4)] + [(2000, "½ ²", None), (2001, "eta beta eta", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = language_id.fit(df, sample=50)
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(df, crf).collect()}
+    assert crf.labels == ["en", "xx"] and out[2000] == "und" and out[2001] == "xx" and out[0] == "en"
+    assert language_id.identify(df.limit(0), crf).count() == 0
+    kept = language_id.keep_languages(df.withColumn("text", F.concat("text", F.lit(" eta beta zzz"))), crf)
+    assert kept.count() == len(rows)
+    languages = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} eigen", f"l{i:03}") for i in range(230)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(languages).labels) > 150 and len(language_id.fit(languages, sample=1).labels) > 150
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = queries.QUERIES["op5_language_id"](spark, d).join(common.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").filter("held_out")
