@@ -7,8 +7,8 @@ forward-backward gives each word's label distribution; a document's language is
 The forward-backward runs over all blocks of BLOCK words of many texts at once: each block's product of transition and
 emission matrices first, then the messages across blocks, then those inside, which is exact and takes few array steps.
 
-Defined results: a text that is null or has no letter is `und` with score 0. Documents without a language (or with an
-empty table) teach nothing; without any, all texts are `und`. Of equal languages the smaller name wins. Repeated rows
+Defined results: a text that is null or has no letter is `und` with score 0; a word is a run of letters and marks with a
+letter. Documents without a language or a word (or an empty table) teach nothing; without any, all texts are `und`. Of equal languages the smaller name wins. Repeated rows
 are judged one by one; other columns are not looked at.
 """
 
@@ -19,55 +19,61 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, filter_texts, fold, map_texts, table
+from .common import Codes, filter_texts, fold, map_texts, rounds, table
 
-#: Bounds of the sample that the model is fitted on: documents, words of each (a stretch at a hash-chosen place), languages.
+#: Bounds of the sample that the model is fitted on: documents in all, shared evenly by the languages, of which each has
+#: LEAST however many there are; words of each document (a stretch at a hash-chosen place).
 SAMPLE = 3_000
+LEAST = 20
 STRETCH = 30
-LANGUAGES = 200
 #: Words of a language's lexicon feature: those seen so often in its part of the sample.
 LEXICON = 3
 BUCKETS = 1 << 15
-FEATURES = 16
 EPOCHS = 6
 BLOCK = 64
 UND = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile(r"[a-z]+")
+_LETTERS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 #: Words whose features a task keeps.
 CACHE = 400_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words, for fit and prediction alike."""
+    if not text:
+        return []
+    low = text.lower()
+    return _ASCII.findall(low) if low.isascii() else _LETTERS.findall(low)
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a lower-cased word, at most FEATURES of them (a long word's inner n-grams are thinned evenly)."""
+    """Feature numbers of a lower-cased word: lexicon, the word, its beginnings and ends, all its trigrams."""
     names = [f"l{lexicon[word]}"] if word in lexicon else []
     names += [f"w{word}", f"p1{word[:1]}", f"p2{word[:2]}", f"p3{word[:3]}", f"s1{word[-1:]}", f"s2{word[-2:]}", f"s3{word[-3:]}"]
-    grams = [f"g{word[i : i + 3]}" for i in range(len(word) - 2)] or [f"g{word}"]
-    free = FEATURES - len(names)
-    if len(grams) > free:
-        grams = [grams[i * len(grams) // free] for i in range(free)]
-    return [zlib.crc32(n.encode()) % BUCKETS + 1 for n in names + grams]
+    names += [f"g{word[i : i + 3]}" for i in range(len(word) - 2)] or [f"g{word}"]
+    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
 class Crf:
     def __init__(self, labels: list[str], lexicon: dict[str, int]):
         self.labels, self.lexicon, n = labels, lexicon, len(labels)
-        self.w = np.zeros((BUCKETS + 1, n))  # row 0 is the empty feature
+        self.w = np.zeros((BUCKETS, n))
         self.trans, self.start = np.zeros((n, n)), np.zeros(n)
 
-    def matrix(self, words: list[str]) -> np.ndarray:
-        f = np.zeros((len(words), FEATURES), dtype=np.int64)
-        for i, w in enumerate(words):
-            x = features(w, self.lexicon)
-            f[i, : len(x)] = x
-        return f
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' features end to end, and how many each has (one at least)."""
+        rows = [features(w, self.lexicon) for w in words]
+        return np.array([f for r in rows for f in r], dtype=np.int64), np.array([len(r) for r in rows], dtype=np.int64)
 
-    def emissions(self, f: np.ndarray) -> np.ndarray:
-        return self.w[f].sum(1)
+    def emissions(self, f: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.w[f], np.cumsum(n) - n, axis=0) if len(n) else np.empty((0, len(self.labels)))
 
     # -- learning -------------------------------------------------------------------------------------------------
 
@@ -77,19 +83,21 @@ class Crf:
         codes = Codes()
         x = np.array([[codes[w] for w in ws] for ws, _ in sequences])
         y = np.array([ys for _, ys in sequences])
-        f = self.matrix(codes.words)
+        f, width = self.features(codes.words)
+        begin = np.cumsum(width) - width
         gw, gt, gs = np.full_like(self.w, 1e-6), np.full_like(self.trans, 1e-6), np.full_like(self.start, 1e-6)
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 at = order[a : a + batch]
-                e = self.emissions(f[x[at].ravel()]).reshape(len(at), -1, n)
+                used, place = np.unique(x[at].ravel(), return_inverse=True)
+                k = width[used]
+                fx = f[np.repeat(begin[used] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
+                e = self.emissions(fx, k)[place].reshape(len(at), -1, n)
                 post, pair = self._posteriors(e)
                 truth = np.eye(n)[y[at]]
                 d = (post - truth).reshape(-1, n) / len(at)
-                fx = f[x[at].ravel()].ravel()
-                g = np.stack([np.bincount(fx, np.repeat(d[:, j], FEATURES), BUCKETS + 1) for j in range(n)], 1)
-                g[0] = 0
+                g = np.stack([np.bincount(fx, np.repeat(np.bincount(place, d[:, j], len(used)), k), BUCKETS) for j in range(n)], 1)
                 counts = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:])
                 t, s = (pair - counts) / len(at) + 1e-4 * self.trans, (post[:, 0] - truth[:, 0]).sum(0) / len(at)
                 for p, grad, acc in ((self.w, g, gw), (self.trans, t, gt), (self.start, s, gs)):
@@ -191,13 +199,13 @@ class Tagger:
         at = [codes[w] for w in words]
         if len(codes.words) > len(self.e):
             new = codes.words[len(self.e) :]
-            parts = [self.crf.emissions(self.crf.matrix(new[i : i + 20_000])) for i in range(0, len(new), 20_000)]
+            parts = [self.crf.emissions(*self.crf.features(new[i:j])) for i, j in rounds(new, 50_000)]
             self.e = np.concatenate([self.e, *parts])
         return self.e[at]
 
     def words(self, texts: list) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Each text's words, its number of words, and the words' label distributions end to end."""
-        words = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         flat = [w for ws in words for w in ws]
         if not flat or not self.crf.labels:
@@ -221,19 +229,27 @@ class Tagger:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, stretch: int = STRETCH) -> Crf:
-    """From documents with a language whose crc32(id as text) mod 4 is not 2: stretches of `stretch` words of at most
-    `sample` of them, by hash of the id. Every second sequence joins two documents' stretches, so that transitions
-    between languages are learned, too."""
-    named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).filter(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & (fold("__id", 4) != 2))
-    ids = F.broadcast(named.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    words = F.regexp_extract_all(F.lower("__text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    at = F.pmod(F.xxhash64("__id", F.lit("at")), F.greatest(F.lit(1), F.size("__w") - stretch + 1)).cast("int") + 1
-    rows = named.join(ids, "__id").withColumn("__w", words).filter(F.size("__w") >= 5)
-    rows = sorted((r["__id"], r["__lang"], tuple(r["__w"])) for r in rows.select("__id", "__lang", F.slice("__w", at, F.lit(stretch)).alias("__w")).collect())
-    known = [k for k, _ in Counter(r[1] for r in rows).most_common(LANGUAGES)]
-    labels = sorted(known)
+    """From documents with a language and a word whose crc32(id as text) mod 4 is not 2: stretches of `stretch` words of at
+    most `sample` of them, by hash of the id, in equal shares of the languages, of which each has at least LEAST. Every
+    second sequence joins two documents' stretches, so that transitions between languages are learned, too."""
+    named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))
+    named = named.filter(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & (fold("__id", 4) != 2))
+    labels = sorted(r["__lang"] for r in named.select("__lang").distinct().collect())
     number = {k: i for i, k in enumerate(labels)}
-    rows = [r for r in rows if r[1] in number]
+    share = max(LEAST, sample // max(len(labels), 1))
+    hashed = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
+    ids = F.broadcast(named.select("__lang", "__id").withColumn("__n", F.row_number().over(hashed)).filter(F.col("__n") <= share).select("__lang", "__id").distinct())
+
+    def stretches_of(texts: list) -> dict:
+        out = []
+        for t in texts:
+            ws = words_of(t)
+            at = zlib.crc32(t.encode()) % max(1, len(ws) - stretch + 1)
+            out.append(ws[at : at + stretch])
+        return {"words": out}
+
+    rows = map_texts(named.join(ids, ["__lang", "__id"]), ["__id", "__lang"], "__text", lambda: stretches_of, [T.StructField("words", T.ArrayType(T.StringType()))])
+    rows = sorted((r["__id"], r["__lang"], tuple(r["words"])) for r in rows.collect() if r["words"])
     seen: dict[str, Counter] = {}
     for _, lang, ws in rows:
         for w in ws:
@@ -287,8 +303,9 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
     return map_texts(docs, [id_col], text_col, make, fields)
 
 
-def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is among `languages` (None: any learned one) with that score."""
+def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is among `languages` (None: any learned one) with that score at
+    least; by default all but those that are `und`, however many languages a text mixes."""
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     wanted = None if languages is None else set(languages)
 
