@@ -1,10 +1,10 @@
 """Mixing sources to target weights.
 
 Each document gets a hash-random key. Within a source, documents are dealt to ranges of keys; the ranges' word counts
-give each range's start, a window inside a range each document's start, and the source's budget cuts there. A budget
+give each range's start (over blocks of ranges first), a window inside a range each document's start, and the source's budget cuts there. A budget
 beyond the source's size repeats whole epochs first.
 
-Defined results: a null text has size 0; null is a source of its own. Equal keys are ordered by id, and rows that agree
+Defined results: a null text has size 0; null is a source of its own. A null id draws its key from the text. Equal keys are ordered by id, and rows that agree
 in id and size may swap. A source without words has target 0. An empty table gives an empty result. Further columns are
 ignored by `mix_sources`; `mixed_documents` returns them as they are.
 """
@@ -24,6 +24,8 @@ MOST = 2
 SEED = "mix"
 #: Rows of a source that a range of keys holds on average.
 RANGE_ROWS = 2_000
+#: Ranges of a block.
+BLOCK = 1_024
 
 
 def n_words(text: Column) -> Column:
@@ -48,10 +50,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """id, size, source_size, target, taken per row; and source, epochs (whole repeats) and starts (the part of an epoch
-    begins inside the budget)."""
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    sizes = written(sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")).cast("binary"))), "mix-sizes")
+    """id, size, source_size, target, taken per row; and source, epochs (whole repeats), starts (the part of an epoch begins
+    inside the budget) and text_hash."""
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none:"), F.col("text_hash").cast("string"))))
+    sizes = written(sizes.withColumn("key", F.md5(named.cast("binary"))), "mix-sizes")
     goal = targets(sizes, weights, share, most)
     budget = F.round("target").cast("long")
     goal = goal.select(
@@ -63,21 +66,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = sizes.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).join(goal, "source")
     u = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
     df = df.withColumn("range", F.floor(u * F.col("ranges")).cast("long"))
-    starts = df.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    starts = starts.select("source", "range", (F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).alias("range_start"))
+    starts = written(df.groupBy("source", "range").agg(F.sum("size").alias("n")).withColumn("block", F.expr(f"`range` div {BLOCK}")), "mix-ranges")
+    blocks = starts.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("source", "block", (F.sum("n").over(W.partitionBy("source").orderBy("block")) - F.col("n")).alias("block_start"))
+    inside = F.sum("n").over(W.partitionBy("source", "block").orderBy("range")) - F.col("n")
+    starts = starts.withColumn("inside", inside).join(blocks, ["source", "block"]).select("source", "range", (F.col("block_start") + F.col("inside")).alias("range_start"))
     df = df.join(starts, ["source", "range"])
     inside = F.sum("size").over(W.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     df = df.withColumn("start", F.col("range_start") + inside)
     taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("start")))
-    return df.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("source.none"), F.col("source.name")).alias("source"), "epochs", (F.col("start") < F.col("rest")).alias("starts"))
+    return df.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("source.none"), F.col("source.name")).alias("source"), "epochs", (F.col("start") < F.col("rest")).alias("starts"), "text_hash")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The documents of the mix, one row for each time one is taken; the document that a budget cuts stays whole. Rows
-    with a null id take no part. A repeated id is mixed as often as it has rows."""
-    plan = mix_sources(docs, id_col, **params)
-    times = plan.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.col("epochs") + F.col("starts").cast("int")).cast("int").alias("__mix_times"))
-    out = docs.join(checked(written(times.filter("__mix_times > 0"), "mix-times")), docs[id_col] == F.col("__mix_id"))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The documents of the mix, one row for each time one is taken; the document that a budget cuts stays whole. Documents
+    are told apart by id, null among them, and text; rows that agree in both are taken as often as the one taken most."""
+    plan = mix_sources(docs, id_col, text_col, **params)
+    times = plan.groupBy(F.col(id_col).alias("__mix_id"), F.col("text_hash").alias("__mix_hash")).agg(F.max(F.col("epochs") + F.col("starts").cast("int")).cast("int").alias("__mix_times"))
+    times = checked(written(times.filter("__mix_times > 0"), "mix-times"))
+    out = docs.join(times, docs[id_col].eqNullSafe(F.col("__mix_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__mix_hash")))
     return out.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_turn")).drop("__mix_turn")
 
 

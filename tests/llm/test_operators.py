@@ -516,6 +516,16 @@ def test_source_mix(odd, docs):
     assert all(abs(t - g) <= 1 and t <= 2 * s for s, t, g in by.values()) and abs(sum(t for _, t, _ in by.values()) - 1.5 * sum(s for s, _, _ in by.values())) < 1e-3
     assert source_mix.mix_sources(odd.limit(0)).count() == 0
     assert source_mix.mixed_documents(odd).columns == odd.columns
+    plan = {(r.source, r.taken > 0) for r in source_mix.mix_sources(odd.filter("doc_id is null")).collect()}
+    assert plan == {(None, True)} and source_mix.mixed_documents(odd.filter("doc_id is null")).count() == 2
+
+
+def test_source_mix_ranges(spark):
+    """Prefix sums over many blocks of ranges equal those of one pass in order of key."""
+    df = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "'s' as source")
+    small = source_mix.mix_sources(df, share=0.5, range_rows=2)
+    whole = source_mix.mix_sources(df, share=0.5, range_rows=10_000)
+    assert sorted((r.doc_id, r.taken) for r in small.collect()) == sorted((r.doc_id, r.taken) for r in whole.collect())
 
 
 def test_nearest(spark):
@@ -581,3 +591,43 @@ def test_pipeline(spark, docs):
             assert df.columns == columns
         assert name in ("source_mix", "packing") or 0.5 * before.count() < df.count() <= before.count()
     assert df.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_pipeline_by_brute_force(spark, docs, texts):
+    """Each stage on its own input, against the operators' brute-force versions."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r.doc_id: r for r in docs.collect()}
+    labelled = common.table(spark, DIR, "labels")
+    model = toxicity.fit(docs, labelled)
+    clean = stages["toxicity"](spark, docs, DIR)
+    ids = {r.doc_id for r in clean.collect()}
+    assert ids == {i for i, t in texts.items() if model.scores([t])[0][0] < toxicity.THRESHOLD}
+    spoken = stages["language_id"](spark, docs, DIR)
+    assert {r.doc_id for r in spoken.collect()} == {i for i, t in texts.items() if language_id.words_of(t)}
+    order = sorted(texts)
+    want = classes(weighted([texts[i] for i in order]))
+    kept = stages["minhash_near_dedup"](spark, docs, DIR)
+    assert {r.doc_id for r in kept.collect()} == {i for n, i in enumerate(order) if want[n] == n}
+    plan = {r.doc_id: r.epochs + r.starts for r in source_mix.mix_sources(docs).collect()}
+    assert Counter(r.doc_id for r in stages["source_mix"](spark, docs, DIR).collect()) == Counter({i: n for i, n in plan.items() if n})
+    pieces = Counter()
+    for r in stages["packing"](spark, docs, DIR).collect():
+        pieces[r.doc_id] += r.length
+        assert r.doc_id in rows
+    assert pieces == Counter({r.doc_id: r.doc_tokens for r in stages["packing"](spark, docs, DIR).collect()})
+
+
+def test_pipeline_odd_inputs(spark, odd, labels, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, an empty table: every stage runs, all but
+    the last return the same columns, and a null id goes through."""
+    d = str(tmp_path)
+    labels.selectExpr("doc_id", "quality", "0 as toxic").write.parquet(f"{d}/labels.parquet")  # nothing is toxic
+    odd.write.parquet(f"{d}/documents.parquet")
+    df = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), d).count() == 0
+        df = common.written(stage(spark, df, d), name)
+        assert df.columns == odd.columns and df.filter("doc_id is null").count() > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, d)
+    assert packed.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), d).count() == 0
+    assert corpus_pipeline.run(spark, d).count() == packed.count()
