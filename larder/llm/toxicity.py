@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_texts, fold, map_texts, table
+from .common import Codes, filter_texts, fold, map_texts, release, table
 
 #: Bound of the labelled sample: the classifier is fitted on at most so many texts, those of the smallest hash, and on at
 #: most SAMPLE_CHARS of their characters: a text that would pass the rest of it is left out, shorter ones still count.
@@ -73,7 +73,7 @@ class BlockMaxIndex:
         t = np.concatenate([t for t, _ in vectors]) if self.n else np.empty(0, np.int64)
         w = np.concatenate([w for _, w in vectors]) if self.n else np.empty(0)
         order = np.lexsort((rows, t))
-        self.rows, self.weights = rows[order], w[order]
+        self.rows, self.weights = rows[order].astype(np.int32), w[order]
         n = np.bincount(t, minlength=n_terms)
         self.of_term = np.concatenate(([0], np.cumsum(n)))
         self.frequent = np.sort(np.argsort(-n, kind="stable")[:frequent])
@@ -109,7 +109,7 @@ class BlockMaxIndex:
         t, w, owner = t[~often], w[~often], owner[~often]
         n = self.of_term[t + 1] - self.of_term[t]
         at = _spans(self.of_term[t], n)
-        scores = np.bincount(np.repeat(owner * width, n) + self.rows[at], self.weights[at] * np.repeat(w, n), n_queries * width).astype(float).reshape(n_queries, self.n_blocks, self.block)
+        scores = np.bincount(np.repeat(owner * width, n) + self.rows[at].astype(np.int64), self.weights[at] * np.repeat(w, n), n_queries * width).astype(float).reshape(n_queries, self.n_blocks, self.block)
         bound = scores.max(2) + q @ most
         done = bound <= 0
         opened = np.zeros(n_queries)
@@ -137,48 +137,63 @@ class BlockMaxIndex:
         return out, opened / self.n_blocks
 
 
+class Coded:
+    """Texts as numbers of their terms and how often each occurs; the texts themselves aren't kept."""
+
+    def __init__(self, texts=()):
+        self.codes, self.rows = Codes(), []
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str | None) -> None:
+        c = terms(text)
+        self.rows.append((np.fromiter((self.codes[x] for x in c), np.int32, len(c)), np.fromiter(c.values(), np.int32, len(c))))
+
+
 class Model:
     """Fitted on the driver from the bounded sample; small, and sent to the tasks with the function."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, k: int = NEIGHBOURS):
+    def __init__(self, texts: list[str] | Coded, toxic: np.ndarray, calibrate: np.ndarray, k: int = NEIGHBOURS):
+        coded = texts if isinstance(texts, Coded) else Coded(texts)
         self.k, self.rate = k, (toxic.sum() + 0.1) / (len(toxic) + 1)
-        counts = [terms(t) for t in texts]
-        df, hit = Counter(), Counter()
-        for c, y in zip(counts, toxic):
-            df.update(c.keys())
-            if y:
-                hit.update(c.keys())
-        n, p = len(texts), int(toxic.sum())
-        names = sorted(df) if 0 < p < n else []
-        self.vocabulary = {t: i for i, t in enumerate(names)}
-        c, a = np.array([df[t] for t in names], dtype=float), np.array([hit[t] for t in names], dtype=float)
+        n, p = len(coded.rows), int(toxic.sum())
+        if not 0 < p < n:
+            coded = Coded([None] * n)
+        n_terms, none = len(coded.codes), np.empty(0, np.int32)
+        self.vocabulary = dict(coded.codes)
+        c = np.bincount(np.concatenate([t for t, _ in coded.rows] or [none]), minlength=n_terms).astype(float)
+        a = np.bincount(np.concatenate([t for (t, _), y in zip(coded.rows, toxic) if y] or [none]), minlength=n_terms).astype(float)
         chi = n * (a * (n - p - c + a) - (c - a) * (p - a)) ** 2 / np.maximum(c * (n - c) * p * (n - p), 1)
-        self.weights = np.log((n + 1) / c) * np.sqrt(chi + CHI_FLOOR)
+        self.weights = np.log((n + 1) / np.maximum(c, 1)) * np.sqrt(chi + CHI_FLOOR)
         self.unseen = np.log(n + 1) * np.sqrt(CHI_FLOOR)
-        vectors = [self.vector(c) for c in counts]
+        vectors = [self._weighed(t.astype(np.int64), m) for t, m in coded.rows]
         example = [i for i in range(n) if not calibrate[i] and len(vectors[i][0])]
         # Sorted by their heaviest term among the common ones, so that a block's examples have terms in common.
         common = c * 50 >= n
         example.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * common[vectors[i][0]])]), i))
-        self.index = BlockMaxIndex([vectors[i] for i in example], len(names))
+        self.index = BlockMaxIndex([vectors[i] for i in example], n_terms)
         self.labels = toxic[example].astype(float) if example else np.empty(0)
         self.curve = (0.0, 1.0)
         held = [i for i in range(n) if calibrate[i] and len(vectors[i][0])]
         self.none = (sum(bool(toxic[i]) for i in range(n) if not len(vectors[i][0])) + self.rate) / (sum(not len(v[0]) for v in vectors) + 1)
         if held and len(self.labels):
             self.curve = _logistic(np.array([v for v, _, _ in self.votes([vectors[i] for i in held])]), toxic[held].astype(float))
+            self.index.held = None
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers, in order, and weights of the terms that the sample has; the norm is over all terms."""
-        v = self.vocabulary
-        t = np.fromiter((v.get(x, -1) for x in counts), np.int64, len(counts))
-        tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+    def _weighed(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, in order, and weights of the terms; a number below 0 is a term that the sample lacks and counts for the norm
+        only."""
+        tf = 1 + np.log(np.maximum(counts, 1))
         known = np.flatnonzero(t >= 0)
         known = known[np.argsort(t[known])]
         w = tf[known] * self.weights[t[known]]
         unseen = self.unseen * tf[t < 0]
         return t[known], w / np.sqrt(w @ w + unseen @ unseen) if len(known) else w
 
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        v = self.vocabulary
+        return self._weighed(np.fromiter((v.get(x, -1) for x in counts), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+
     def votes(self, vectors: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """For each vector the vote of its neighbours, weighted by 1 / (1 + distance) with the cosine distance and smoothed by
         one vote of the base rate of small weight; the neighbours and their cosines are the evidence."""
@@ -232,13 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter((fold("__id", 4) != 2) & F.col("__y").isin(0, 1))
     chosen = F.broadcast(lab.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(chosen, "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text")).filter(F.length("__text") <= chars)
-    texts, y, ids, size = [], [], [], 0
+    coded, y, size = Coded(), [], 0
     for r in rows.orderBy(F.xxhash64("__id"), "__id", "__text").toLocalIterator():
         if size + len(r["__text"]) > chars:
             continue
         size += len(r["__text"])
-        texts.append(r["__text"]), y.append(r["__y"]), ids.append(r["__id"])
-    return Model(texts, np.array(y, dtype=int), np.arange(len(y)) % 4 == 3)
+        coded.add(r["__text"])
+        y.append(r["__y"])
+    model = Model(coded, np.array(y, dtype=int), np.arange(len(y)) % 4 == 3)
+    release()
+    return model
 
 
 def _send(spark: SparkSession, model: Model):
