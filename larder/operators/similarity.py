@@ -169,7 +169,7 @@ def traffic_split(variants: DataFrame, experiment: str, seed: int, least_exposur
 
     variants: experiment, variant, exposures, conversions. An experiment with a variant of fewer exposures is left out.
     A draw depends on the seed, the experiment and the variants' order by name, so reruns agree."""
-    def split(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("variant")
         if not len(rows) or (rows.exposures < least_exposures).any():
             return rows.iloc[:0].assign(percent=0)[[experiment, "variant", "percent"]]
@@ -220,3 +220,46 @@ def collocations(texts: DataFrame, column: str, least_df: int = 5, least_joint:
     y = y.join(F.broadcast(sums), F.lit(True))
     ratio = (c("joint") / c("all_pairs")) / ((c("na") / c("all_words")) * (c("nb") / c("all_words")))
     return y.select("a", "b", "joint", F.round(F.greatest(F.lit(0.0), F.log(ratio)), 6).alias("ppmi"))
+
+
+def search(queries: DataFrame, query: str, query_words: str, names: DataFrame, name: str, words: str) -> DataFrame:
+    """query, name, score of names that share a word with a query: matched words, common words, and more if one contains the
+    other. Candidates come from an equi-join on words; rank or cut them by score."""
+    asked = queries.select(query, query_words, F.explode(F.array_distinct(query_words)).alias("__x"))
+    known = names.select(name, words, F.explode(F.array_distinct(words)).alias("__x"))
+    pairs = asked.join(known, "__x").dropDuplicates([query, name])
+    both = F.size(F.array_intersect(query_words, words)).cast("double")
+    score = both / F.size(words) + 1.6 * both / F.size(F.array_union(query_words, words))
+    score = score + F.when(F.contains(c(query), c(name)), 0.75).otherwise(0.0) + F.when(F.contains(c(name), c(query)), 0.15).otherwise(0.0)
+    return pairs.select(query, name, F.round(score, 6).alias("score"))
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, rows: int = 20_000, asked: int = 2_000) -> DataFrame:
+    """a, b, cosine, place: each query's k nearest of all vectors but itself, ties to the smaller key.
+
+    Vectors are dealt to parts of about `rows`, queries to parts of about `asked`; each pair of parts is one group, whose
+    best k of each query are merged by a window. Rows without a vector, or of zeros, take no part."""
+    def fine(df: DataFrame) -> DataFrame:
+        return df.select(key, vector).filter(F.exists(vector, lambda x: x != 0))
+
+    v, q = fine(vectors), fine(queries)
+    parts, shares = max(1, -(-v.count() // rows)), max(1, -(-q.count() // asked))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select(key, vector, F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), every(shares).alias("share"))
+    q = q.select(key, vector, F.pmod(F.xxhash64(key), F.lit(shares)).alias("share"), every(parts).alias("part"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+        m, n = (np.stack(list(x[vector])).astype(float) for x in (left, right))
+        m, n = (x / np.linalg.norm(x, axis=1)[:, None] for x in (m, n))
+        ids, out = left[key].to_numpy(), []
+        for own, row in zip(right[key].to_numpy(), n):
+            s = (m @ row).round(9)
+            at = np.flatnonzero(ids != own)
+            at = at[np.lexsort((ids[at], -s[at]))][:k]
+            out.append(pd.DataFrame({"a": own, "b": ids[at], "cosine": s[at]}))
+        return pd.concat(out)
+
+    found = v.groupBy("part", "share").cogroup(q.groupBy("part", "share")).applyInPandas(best, "a long, b long, cosine double")
+    return top_per_group(found, ["a"], [c("cosine").desc(), c("b")], k, "place")

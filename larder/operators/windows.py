@@ -36,3 +36,13 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFram
 def share_of_total(df: DataFrame, value: str, name: str, digits: int = 2) -> DataFrame:
     """value in percent of its sum over all rows; for small, aggregated frames."""
     return df.withColumn(name, F.round(100.0 * F.col(value) / F.sum(value).over(W.partitionBy()), digits))
+
+
+def store_range(stores: DataFrame, zip_min: str | None = None, zip_max: str | None = None, state=None, cities: list | None = None, city=None) -> DataFrame:
+    """Stores (zip, state, city) between two zip codes, compared as text, of a state, and of some cities or else of one.
+    What is not given does not filter."""
+    wanted = [(zip_min, lambda v: F.col("zip") >= v), (zip_max, lambda v: F.col("zip") <= v), (state, lambda v: F.col("state") == v), (cities or None, lambda v: F.col("city").isin(v)), (None if cities else city, lambda v: F.col("city") == v)]
+    for value, condition in wanted:
+        if value is not None:
+            stores = stores.filter(condition(value))
+    return stores

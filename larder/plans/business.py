@@ -18,13 +18,7 @@ def _unit():
     return money.cents(c("l_extendedprice") / c("l_quantity")).alias("unit_cents")
 
 
-@query("q1_pricing", f"""SELECT c_mktsegment, l_partkey, s_nationkey, n_offers, best_cents FROM (SELECT c_mktsegment, s_nationkey FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS s_nationkey FROM customer WHERE c_acctbal > 9500)) u JOIN
-    (SELECT l_partkey, s_nationkey, count(*) AS n_offers, min({_UNIT}) AS best_cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) USING (s_nationkey)""")
-def q1(spark, d):
-    return _pricing(spark, d, t(spark, d, "customer").filter("c_acctbal > 9500"))
-
-
-@query("q1_pricing_all", f"""SELECT c_mktsegment, l_partkey, s_nationkey, n_offers, best_cents FROM (SELECT c_mktsegment, s_nationkey FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS s_nationkey FROM customer)) u JOIN
+@query("q1_pricing", f"""SELECT c_mktsegment, l_partkey, s_nationkey, n_offers, best_cents FROM (SELECT c_mktsegment, s_nationkey FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS s_nationkey FROM customer)) u JOIN
     (SELECT l_partkey, s_nationkey, count(*) AS n_offers, min({_UNIT}) AS best_cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) USING (s_nationkey)""")
 def q1_all(spark, d):
     return _pricing(spark, d, t(spark, d, "customer"))

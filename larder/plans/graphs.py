@@ -77,8 +77,8 @@ def s12(spark, d):
     SELECT vec_id, round(sum(v * m) / sqrt(sum(v * v)) / sqrt(sum(m * m)), 5) AS cosine FROM x JOIN m USING (label, i) GROUP BY vec_id""")
 def ml_centroid(spark, d):
     """Each vector's cosine to the mean of its label: what a medoid is chosen by."""
-    e = t(spark, d, "embeddings")
-    x = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", c("v").cast("double"))
-    m = x.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    g = x.join(m, ["label", "i"]).groupBy("vec_id").agg(F.sum(c("v") * c("m")).alias("vm"), F.sum(c("v") * c("v")).alias("vv"), F.sum(c("m") * c("m")).alias("mm"))
-    return g.select("vec_id", F.round(c("vm") / F.sqrt("vv") / F.sqrt("mm"), 5).alias("cosine"))
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    first = e.select(F.size("v").alias("n")).first()
+    mean = e.groupBy("label").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(first["n"] if first else 0)]).alias("m"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return e.join(mean, "label").select("vec_id", F.round(dot("v", "m") / F.sqrt(dot("v", "v")) / F.sqrt(dot("m", "m")), 5).alias("cosine"))

@@ -51,7 +51,7 @@ def s28(spark, d):
     return t(spark, d, "part").select("p_partkey", matching.ingredient_line(line).alias("x")).select("p_partkey", "x.quantity", "x.unit", "x.name")
 
 
-@query("m16_new_name_risk", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'token_confidence_floor' WHEN p_size % 5 = 1 THEN 'retail_title_like' WHEN p_size % 5 = 2 THEN 'high_noise_density' WHEN p_size % 5 = 3 THEN 'repeated_token_sequence' END AS reason FROM part""")
+@query("m16_new_name_risk", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'dynamic_token_confidence_floor' WHEN p_size % 5 = 1 THEN 'retail_title_like' WHEN p_size % 5 = 2 THEN 'high_noise_density' WHEN p_size % 5 = 3 THEN 'repeated_token_sequence' END AS reason FROM part""")
 def m16(spark, d):
     """One name for each rule, built around a product's own; the last takes none."""
     make = [("minute {} box", "other", 0.5), ("{} with 12 more words", "dairy", 0.9), ("fresh {} pack", "dairy", 0.9), ("{} mix mix", "dairy", 0.9), ("{}", "other", 0.1)]

@@ -14,13 +14,7 @@ c = F.col
 _NOW = "TIMESTAMP '2024-01-31'"
 
 
-@query("q2_pricing_gaps", """WITH u AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000), need AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
-    offer AS (SELECT DISTINCT s_nationkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT c_custkey, l_partkey FROM u JOIN need ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM offer WHERE s_nationkey = c_nationkey AND offer.l_partkey = need.l_partkey)""")
-def q2(spark, d):
-    return _pricing_gaps(spark, d, t(spark, d, "customer").filter("c_acctbal > 9000"))
-
-
-@query("q2_pricing_gaps_all", """WITH u AS (SELECT c_custkey, c_nationkey FROM customer), need AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
+@query("q2_pricing_gaps", """WITH u AS (SELECT c_custkey, c_nationkey FROM customer), need AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
     offer AS (SELECT DISTINCT s_nationkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT c_custkey, l_partkey FROM u JOIN need ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM offer WHERE s_nationkey = c_nationkey AND offer.l_partkey = need.l_partkey)""")
 def q2_all(spark, d):
     return _pricing_gaps(spark, d, t(spark, d, "customer"))
@@ -163,13 +157,7 @@ def ag28(spark, d):
     return t(spark, d, "lineitem").filter("l_quantity > 0").groupBy("l_partkey").agg(n.alias("samples"), unit.alias("unit_cents"), F.when(n >= 30, "high").when(n >= 10, "middle").otherwise("low").alias("confidence"))
 
 
-@query("wn3_preferred_store", """SELECT c_nationkey, l_partkey, l_suppkey FROM (SELECT u.c_nationkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY u.c_nationkey, l_partkey ORDER BY (s_nationkey = u.c_nationkey) DESC, p, l_suppkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9990) u,
-    (SELECT l_partkey, l_suppkey, s_nationkey, min(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)) WHERE rn = 1""")
-def wn3(spark, d):
-    return _preferred_store(spark, d, t(spark, d, "customer").filter("c_acctbal > 9990"))
-
-
-@query("wn3_preferred_store_all", """SELECT c_nationkey, l_partkey, l_suppkey FROM (SELECT u.c_nationkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY u.c_nationkey, l_partkey ORDER BY (s_nationkey = u.c_nationkey) DESC, p, l_suppkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer) u,
+@query("wn3_preferred_store", """SELECT c_nationkey, l_partkey, l_suppkey FROM (SELECT u.c_nationkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY u.c_nationkey, l_partkey ORDER BY (s_nationkey = u.c_nationkey) DESC, p, l_suppkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer) u,
     (SELECT l_partkey, l_suppkey, s_nationkey, min(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)) WHERE rn = 1""")
 def wn3_all(spark, d):
     return _preferred_store(spark, d, t(spark, d, "customer"))

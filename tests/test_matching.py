@@ -54,7 +54,7 @@ def test_remap(spark):
 
 def test_risk_and_titles(spark):
     risk = lambda n, k, p: matching.new_name_risk(F.lit(n), F.lit(k).cast("string"), F.lit(p))
-    assert one(spark, risk("vanilla almond milk", None, 0.9), risk("chocolate mix mix", "snacks", 0.91), risk("minute maid lemonade 2 liter", "other", 0.124), risk("minute maid lemonade 2 liter", "other", 0.9)) == (None, "repeated_token_sequence", "token_confidence_floor", "retail_title_like")
+    assert one(spark, risk("vanilla almond milk", None, 0.9), risk("chocolate mix mix", "snacks", 0.91), risk("minute maid lemonade 2 liter", "other", 0.124), risk("minute maid lemonade 2 liter", "other", 0.9)) == (None, "repeated_token_sequence", "dynamic_token_confidence_floor", "retail_title_like")
     food = lambda x: matching.is_non_food(F.lit(x).cast("string"))
     assert one(spark, food("Body & Hand Butter"), food("peanut butter"), food("tooth-paste"), food(None)) == (True, False, True, False)
 
