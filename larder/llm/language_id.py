@@ -234,11 +234,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     second sequence joins two documents' stretches, so that transitions between languages are learned, too."""
     named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))
     named = named.filter(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & (fold("__id", 4) != 2))
-    labels = sorted(r["__lang"] for r in named.select("__lang").distinct().collect())
+    counts = sorted((r["__lang"], r["count"]) for r in named.groupBy("__lang").count().collect())
+    labels = [k for k, _ in counts]
     number = {k: i for i, k in enumerate(labels)}
     share = max(LEAST, sample // max(len(labels), 1))
-    hashed = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = F.broadcast(named.select("__lang", "__id").withColumn("__n", F.row_number().over(hashed)).filter(F.col("__n") <= share).select("__lang", "__id").distinct())
+    # The smallest hashes are looked for among four times as many as wanted, so few rows of a large language meet in a task.
+    bounds = docs.sparkSession.createDataFrame([(k, min(1.0, 4.0 * share / n)) for k, n in counts], "__lang string, __most double")
+    u = F.shiftrightunsigned(F.xxhash64("__id"), 11) / float(1 << 53)
+    near = named.select("__lang", "__id", u.alias("__u")).join(F.broadcast(bounds), "__lang").filter(F.col("__u") <= F.col("__most"))
+    hashed = W.partitionBy("__lang").orderBy("__u", "__id")
+    ids = F.broadcast(near.withColumn("__n", F.row_number().over(hashed)).filter(F.col("__n") <= share).select("__lang", "__id").distinct())
 
     def stretches_of(texts: list) -> dict:
         out = []
