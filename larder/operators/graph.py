@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .windows import top_per_group
 
 
@@ -23,7 +25,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """node, component (its smallest node). Labels take the least of their neighbours', then of their label's, so that
-    chains halve; each round is cut by a checkpoint."""
+    chains halve; each round is cut by a checkpoint. Raises if labels still change after so many rounds."""
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).filter("node is not null and to is not null").distinct()
     both = _cut(both)
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("to")).alias("component"))
@@ -35,8 +37,35 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) ->
         changed = step.join(labels.withColumnRenamed("component", "was"), "node").filter("component <> was").limit(1).count()
         labels = step
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def split_components(members: DataFrame, component: str, name: str, smallest: int = 3, most: int = 5, letters: int = 4, rounds: int = 50) -> DataFrame:
+    """members (component, name; distinct) with `part`: components without a word common to all are cut in two by a word
+    of at least `letters` letters, again and again.
+
+    The word is in 2 to `most` names, but not in all, and leaves two or more on each side; ten times its names plus the
+    smaller side decides, ties go to the smaller word. Parts below `smallest` go. All components are cut at once, a round
+    each, by counts of words; what is done leaves the rounds."""
+    words = F.array_distinct(text.tokens(F.col(name), 2))
+    open_, done, keys = _cut(members.select(component, F.col(name), F.lit("").alias("part")).distinct()), None, [component, "part"]
+    n, k, word = F.col("__n"), F.col("__k"), F.col("__word")
+    for _ in range(rounds):
+        sized = open_.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).filter(n >= smallest)
+        count = sized.select(*keys, "__n", F.explode(words).alias("__word")).groupBy(*keys, "__word").agg(F.count("*").alias("__k"), F.first("__n").alias("__n"))
+        able = (F.length(word) >= letters) & k.between(2, most) & (k < n)
+        rank = F.when(able, F.struct((-(k * 10 + F.least(k, n - k))).alias("score"), word.alias("word"), (n - k).alias("rest")))
+        best = count.groupBy(*keys).agg(F.max(k == n).alias("__shared"), F.min(rank).alias("__best"))
+        cuts = best.filter(~F.col("__shared") & (F.col("__best.rest") >= 2)).select(*keys, F.col("__best.word").alias("__word"))
+        step = _cut(sized.drop("__n").join(cuts, keys, "left"))
+        ended = step.filter(word.isNull()).select(component, name, "part")
+        done = ended if done is None else done.union(ended)
+        side = F.when(F.array_contains(words, word), F.concat("part", F.lit("+"))).otherwise(F.concat("part", F.lit("-")))
+        open_ = step.filter(word.isNotNull()).select(component, name, side.alias("part"))
+        if open_.isEmpty():
+            return done
+    raise RuntimeError(f"components still split after {rounds} rounds")
 
 
 def survivor(members: DataFrame, component: str, name: str, products: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import matching, money, text
+from ..functions import matching, money, text, titles
 from .windows import top_per_group
 
 c = F.col
@@ -48,11 +48,11 @@ def communities(members: DataFrame, component: str, name: str, smallest: int = 3
     return share.join(kept, component, "left_semi").select(component, name, "cluster_size", "common", "purity")
 
 
-def merge_targets(found: DataFrame, component: str, name: str, products: DataFrame) -> DataFrame:
-    """component, name, target: the purest member, then the one with most products, the shorter, the smaller, stands for
-    the others. `products` has the name and n."""
+def merge_targets(found: DataFrame, component: str, name: str, products: DataFrame, larger: bool = False) -> DataFrame:
+    """component, name, target: the purest member, then the one with most products, the shorter, the smaller (or larger)
+    name, stands for the others. `products` has the name and n."""
     n = found.join(products.select(name, "n"), name, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = top_per_group(n, [component], [c("purity").desc(), c("n").desc(), F.length(name), c(name)]).select(component, c(name).alias("target"))
+    best = top_per_group(n, [component], [c("purity").desc(), c("n").desc(), F.length(name), c(name).desc() if larger else c(name)]).select(component, c(name).alias("target"))
     return found.select(component, name).join(best, component).filter(c(name) != c("target"))
 
 
@@ -185,12 +185,13 @@ def traffic_split(variants: DataFrame, experiment: str, seed: int, least_exposur
     return variants.select(experiment, "variant", "exposures", "conversions").groupBy(experiment).applyInPandas(split, f"`{experiment}` {kind[experiment]}, variant {kind['variant']}, percent int")
 
 
-def rerank(candidates: DataFrame, forms: list[str], best: int = 1) -> DataFrame:
+def rerank(candidates: DataFrame, forms: list[str], best: int = 1, floor: float = matching.COSINE_FLOOR, tails: bool = True) -> DataFrame:
     """The best candidates of each query above the cosine floor, by the second ranking, with columns score and place.
+    Without `tails` neither common words nor categories nor long tails count, as for names that are linked anew.
 
     candidates: query, query_category, candidate, candidate_category, cosine. Ties go to the larger cosine, then the name."""
-    x = candidates.filter(c("cosine") >= matching.COSINE_FLOOR)
-    x = x.withColumn("score", F.round(matching.rerank_score(c("query"), c("candidate"), c("cosine"), c("query_category"), c("candidate_category"), forms), 9))
+    x = candidates.filter(c("cosine") >= floor)
+    x = x.withColumn("score", F.round(matching.rerank_score(c("query"), c("candidate"), c("cosine"), c("query_category"), c("candidate_category"), forms, tails), 9))
     return top_per_group(x, ["query"], [c("score").desc(), c("cosine").desc(), c("candidate")], best, "place")
 
 
@@ -263,3 +264,54 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
 
     found = v.groupBy("part", "share").cogroup(q.groupBy("part", "share")).applyInPandas(best, "a long, b long, cosine double")
     return top_per_group(found, ["a"], [c("cosine").desc(), c("b")], k, "place")
+
+
+def logged_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (source, target, similarity) as they are logged: with their direction, and of lateral ones the shorter name
+    first; each pair of names once, with its largest similarity."""
+    x = pairs.withColumn("direction", matching.remap_direction(c("source"), c("target")))
+    swap = (c("direction") == matching.LATERAL) & (F.length("target") < F.length("source"))
+    x = x.select(F.when(swap, c("target")).otherwise(c("source")).alias("source"), F.when(swap, c("source")).otherwise(c("target")).alias("target"), "direction", "similarity")
+    return x.groupBy("source", "target", "direction").agg(F.max("similarity").alias("similarity"))
+
+
+def lexical_edges(names: DataFrame, name: str, family: int = 4, overlap: float = 0.6, letters: int = 4) -> DataFrame:
+    """a, b: names with a common word of at least `letters` letters that at most `family` names have, whose common words
+    make that share of the shorter name's. A word of more names makes no pairs, so none makes many."""
+    n = names.select(name).distinct().withColumn("w", F.array_distinct(text.tokens(c(name), 2)))
+    words = n.select(c(name), "w", F.explode("w").alias("word")).filter(F.length("word") >= letters)
+    rare = words.groupBy("word").agg(F.count("*").alias("k")).filter(c("k").between(2, family)).select("word")
+    x = words.join(rare, "word")
+    pairs = x.select("word", c(name).alias("a"), c("w").alias("u")).join(x.select("word", c(name).alias("b"), c("w").alias("v")), "word").filter("a < b")
+    return pairs.filter(text.containment(c("u"), c("v")) >= overlap - 1e-9).select("a", "b").distinct()
+
+
+def consolidation_plan(rows: DataFrame, proposals: DataFrame) -> DataFrame:
+    """rows (source, target, direction) with `loser`, `survivor` and `plan`: a pair that a proposal (name, target) names, in
+    either order, follows it; other lateral pairs of names that proposals touch are superseded; the rest stays as it is."""
+    pair = lambda p, q: [F.least(p, q).alias("__p"), F.greatest(p, q).alias("__q")]
+    named = proposals.select(*pair("name", "target"), c("name").alias("loser"), c("target").alias("survivor")).dropDuplicates(["__p", "__q"])
+    members = proposals.select(F.explode(F.array("name", "target")).alias("__member")).distinct().withColumn("__in", F.lit(True))
+    x = rows.select("source", "target", "direction", *pair("source", "target")).join(named, ["__p", "__q"], "left")
+    for end in ("source", "target"):
+        x = x.join(members.select(c("__member").alias(end), c("__in").alias(f"__{end}")), end, "left")
+    lost = (c("direction") == matching.LATERAL) & F.coalesce(c("__source"), c("__target"), F.lit(False))
+    plan = F.when(c("loser").isNotNull(), "forced").when(lost, "superseded").otherwise("kept")
+    return x.select("source", "target", "direction", "loser", "survivor", plan.alias("plan"))
+
+
+def resolved_names(queue: DataFrame, key: str, title: str, names: DataFrame, name: str, least: float = 1.0) -> DataFrame:
+    """What becomes of titles in the queue: key, name, score, outcome. No food is skipped; a title that is a known name is
+    matched; else the best known name with a common word is taken if its score reaches `least`; the rest are new names."""
+    q = queue.select(key, text.plain_name(c(title)).alias("__title"))
+    food = q.filter(~titles.has_no_food_part(c("__title")))
+    known = names.select(c(name).alias("__name")).distinct()
+    exact = food.join(known.select(c("__name").alias("__title")), "__title", "left_semi").select("__title").distinct()
+    open_ = food.select("__title").distinct().join(exact, "__title", "left_anti")
+    words = lambda df, x: df.select(x, F.split(x, " ").alias(f"{x}_words"))
+    found = search(words(open_, "__title"), "__title", "__title_words", words(known, "__name"), "__name", "__name_words")
+    best = top_per_group(found.filter(c("score") >= least), ["__title"], [c("score").desc(), c("__name")])
+    x = q.join(best, "__title", "left").join(exact.withColumn("__exact", F.lit(True)), "__title", "left")
+    outcome = F.when(titles.has_no_food_part(c("__title")), "no_food").when(c("__exact"), "matched").when(c("__name").isNotNull(), "remapped").otherwise("new")
+    taken = F.when(c("__exact"), c("__title")).otherwise(c("__name"))
+    return x.select(key, F.when(outcome != "no_food", F.when(outcome == "new", c("__title")).otherwise(taken)).alias("name"), F.when(outcome == "remapped", c("score")).alias("score"), outcome.alias("outcome"))
