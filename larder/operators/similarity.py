@@ -120,10 +120,10 @@ def remap_decisions(candidates: DataFrame, name: str, least_confidence: float =
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = None
     for batch in batches:
-        for vectors, weights in zip(np.array_split(batch.v, len(batch) // 10_000 + 1), np.array_split(batch.w, len(batch) // 10_000 + 1)):
+        for vectors, weights in zip(np.array_split(batch.v.to_numpy(), len(batch) // 10_000 + 1), np.array_split(batch.w.to_numpy(), len(batch) // 10_000 + 1)):
             if not len(vectors):
                 continue
-            m, w = np.stack(vectors.to_numpy()).astype(float), weights.to_numpy(dtype=float)
+            m, w = np.stack(vectors).astype(float), weights.astype(float)
             x = np.hstack([np.ones((len(m), 1)), m])
             part = (x * w[:, None]).T @ x
             total = part if total is None else total + part
@@ -315,3 +315,68 @@ def resolved_names(queue: DataFrame, key: str, title: str, names: DataFrame, nam
     outcome = F.when(titles.has_no_food_part(c("__title")), "no_food").when(c("__exact"), "matched").when(c("__name").isNotNull(), "remapped").otherwise("new")
     taken = F.when(c("__exact"), c("__title")).otherwise(c("__name"))
     return x.select(key, F.when(outcome != "no_food", F.when(outcome == "new", c("__title")).otherwise(taken)).alias("name"), F.when(outcome == "remapped", c("score")).alias("score"), outcome.alias("outcome"))
+
+
+def _powers(p: float, mean: np.ndarray, axis: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(mean) + 1)
+        for batch in batches:
+            for vectors, weights in zip(np.array_split(batch.v.to_numpy(), len(batch) // 10_000 + 1), np.array_split(batch.w.to_numpy(), len(batch) // 10_000 + 1)):
+                if len(vectors):
+                    m = np.stack(vectors).astype(float) - mean
+                    along = m @ axis
+                    pull = weights.astype(float) * np.abs(along) ** (p - 1)
+                    total[:-1] += m.T @ (pull * np.sign(along))
+                    total[-1] += (pull * np.abs(along)).sum()
+        yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
+
+    return run
+
+
+def lp_axes(df: DataFrame, vector: str, weight: str, p: float, axes: int = 2, rounds: int = 30, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """mean, axes (rows) and objectives: unit axes on which the weighted sum of |x v|^p of centred rows is at a maximum,
+    each orthogonal to those before; p is at least 1.
+
+    An axis starts at the weighted PCA's and moves to the direction of its gradient in the space left, which never lowers
+    the sum, as it is convex. A round is one pass, of which each task returns one vector; the driver sees their sum. The
+    maximum is a local one. Stops where an axis moves less than `tol`, or after `rounds` passes."""
+    if p < 1:
+        raise ValueError("p is at least 1")
+    mean, start, _ = weighted_pca(df, vector, weight, axes)
+    x = df.select(c(vector).cast("array<double>").alias("v"), c(weight).cast("double").alias("w")).filter("v is not null and w > 0")
+    found, sums = [], []
+    for v in start:
+        for _ in range(rounds):
+            rows = x.mapInPandas(_powers(p, mean, v), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+            out = np.array([r.x for r in sorted(rows, key=lambda r: r.i)])
+            step, power = out[:-1], out[-1]
+            for known in found:
+                step = step - (step @ known) * known
+            length = np.linalg.norm(step)
+            if length < 1e-300:
+                break
+            step = step / length
+            moved, v = np.linalg.norm(step - v), step
+            if moved < tol:
+                break
+        v = v * np.sign(v[np.abs(v).argmax()])
+        found.append(v)
+        sums.append(power)
+    return mean, np.array(found).reshape(len(found), len(mean)), np.array(sums)
+
+
+def jaccard_pairs(sets: DataFrame, key: str, elements: str, least: float) -> DataFrame:
+    """a, b, similarity: keys (distinct) whose sets of strings have at least that Jaccard similarity, above 0.
+
+    Elements are ordered from rare to frequent, and sets meet only at the first few of their elements: as many as any set
+    so similar must share one of. Frequent elements thus make hardly any pairs, and sizes too far apart none."""
+    s = sets.select(key, F.array_distinct(elements).alias("s")).filter(F.size("s") > 0)
+    of = s.select(key, F.explode("s").alias("e"))
+    ranked = of.join(of.groupBy("e").agg(F.count("*").alias("n")), "e").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("r"))
+    n = F.size("r")
+    first = F.slice("r", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    heads = ranked.select(key, F.transform("r", lambda x: x["e"]).alias("s"), F.explode(first).alias("x")).select(key, "s", "x.e")
+    pairs = heads.select("e", c(key).alias("a"), c("s").alias("u")).join(heads.select("e", c(key).alias("b"), c("s").alias("v")), "e").filter("a < b")
+    near = F.least(F.size("u"), F.size("v")) >= F.greatest(F.size("u"), F.size("v")) * least - 1e-9
+    similarity = text.jaccard(c("u"), c("v"))
+    return pairs.filter(near & (similarity >= least - 1e-9)).select("a", "b", similarity.alias("similarity")).distinct()

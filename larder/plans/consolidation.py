@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import matching, titles
+from ..functions import matching, text, titles
 from ..operators import graph, similarity
 from .catalog import query
 from .offers import _NEAR, _near
@@ -161,3 +161,40 @@ def q19(spark, d):
     title = F.when(n == 0, c("p_name")).when(n == 1, F.concat_ws(" ", F.lower("p_type"), "p_name")).when(n == 2, F.concat(F.lit("dog food "), "p_name")).otherwise(F.concat(F.lit("zz"), c("p_size").cast("string")))
     queue = t(spark, d, "part").select("p_partkey", title.alias("title"))
     return similarity.resolved_names(queue, "p_partkey", "title", t(spark, d, "part").select("p_name"), "p_name")
+
+
+# -- names alike, axes -------------------------------------------------------------------------------------------------------
+
+_GRAMS = """WITH n AS (SELECT DISTINCT p_brand || ' ' || p_name AS name FROM part), g AS (SELECT name, list_distinct(flatten(list_transform(string_split(lower(replace(name, '#', ' ')), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS s FROM n)"""
+
+
+@query("s12_similar_names", f"{_GRAMS} SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM g a JOIN g b ON a.name < b.name WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8 - 1e-9")
+def s12_similar(spark, d):
+    """Names of products with their brand whose padded trigrams are alike; rare trigrams find them."""
+    n = t(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
+    grams = F.flatten(F.transform(text.tokens(c("name")), lambda w: text.grams(F.concat(F.lit("  "), w, F.lit(" ")), 3)))
+    return similarity.jaccard_pairs(n.withColumn("s", grams), "name", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("s5_near_names", """WITH n AS (SELECT DISTINCT p_brand || ' ' || p_name AS name, string_split(lower(replace(p_brand || ' ' || p_name, '#', ' ')), ' ') AS s FROM part)
+    SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM n a JOIN n b ON a.name < b.name WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.6 - 1e-9""")
+def s5_near(spark, d):
+    """Names that have most of their words in common."""
+    n = t(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
+    return similarity.jaccard_pairs(n.withColumn("s", text.tokens(c("name"))), "name", "s", 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("pc2_lp_projection")
+def pc2(spark, d):
+    """Vectors on two axes of largest cubed distances, weighted by label."""
+    e = t(spark, d, "embeddings").withColumn("w", c("label") + 1.0)
+    mean, axes, _ = similarity.lp_axes(e, "embedding", "w", 3.0, 2)
+    return similarity.projected(e.select("vec_id", "label", "embedding"), "embedding", mean, axes).drop("embedding")
+
+
+@query("pc3_plain_projection")
+def pc3(spark, d):
+    """Vectors on the first two axes of a plain PCA."""
+    e = t(spark, d, "embeddings").withColumn("w", F.lit(1.0))
+    mean, axes, _ = similarity.weighted_pca(e, "embedding", "w", 2)
+    return similarity.projected(e.select("vec_id", "label", "embedding"), "embedding", mean, axes).drop("embedding")

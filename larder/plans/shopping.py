@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import money, text, titles, units
+from ..functions import money, standard, text, titles, units
 from ..operators import batches, spatial, windows
 from ..sources import io
 from .catalog import query
@@ -378,3 +378,17 @@ def snk9_latest(spark, d):
     x = t(spark, d, "lineitem").filter("l_extendedprice > 0")
     key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
     return x.groupBy("l_suppkey", "l_partkey").agg(F.max_by(money.cents(c("l_extendedprice")), key).alias("cents"))
+
+
+# -- standard names --------------------------------------------------------------------------------------------------------
+
+_TAILS = [" tomatoes", " soy sauce", " chips", " noodle soup", " seeds"]
+
+
+@query("s33_standardised", f"""WITH x AS (SELECT p_partkey, p_partkey % 5 AS k, CASE WHEN split_part(p_name, ' ', 1) IN ('small', 'large') THEN split_part(p_name, ' ', 2) ELSE p_name END AS base FROM part)
+    SELECT p_partkey, base || list_extract([' tomato', ' soy sauce', ' chip', ' noodle soup', ' seeds'], 1 + CAST(k AS INTEGER)) AS name, list_extract(['produce', 'condiments', 'snacks', 'pantry_staples', 'produce'], 1 + CAST(k AS INTEGER)) AS category,
+    CASE WHEN k IN (1, 3, 4) THEN 0.92 WHEN contains(base, ' ') THEN 0.84 ELSE 0.78 END::DOUBLE AS confidence FROM x""")
+def s33(spark, d):
+    """Raw names with words of size, plurals, and a form that stays as it is."""
+    s = standard.standardised(F.concat("p_name", _pick("p_partkey", _TAILS)), ["seeds"])
+    return t(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.name", "s.category", "s.confidence")

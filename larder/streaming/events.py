@@ -33,3 +33,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     """Works off all that is there, appends closed windows to a folder, and stops."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def keep_rollup(events: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Works off what is there into an additive rollup: each batch's counts and cents go to a folder of the batch's number,
+    so that a batch that runs twice replaces itself."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_rollup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rollup so far, its batches added up."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))

@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from larder.functions import matching, units
 from larder.operators import batches, graph, similarity, spatial
 from larder.plans import catalog
+from larder.streaming import events
 
 DIR = "/root/testdata/sf0.001"
 
@@ -127,3 +129,59 @@ def test_rerank_queries(spark):
     top = places[places.place == 1].set_index("query")
     assert len(best) and (best.set_index("query").candidate == top.candidate.reindex(best["query"])).all()
     assert all(g.sort_values("place").score.is_monotonic_decreasing for _, g in places.groupby("query"))
+
+
+def test_lp_axes(spark):
+    rng = np.random.default_rng(2)
+    m, w = rng.standard_normal((300, 3)) * [3, 1, 2] + 1, rng.uniform(0.5, 2, 300)
+    df = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(m, w)], "v array<double>, w double")
+    mean, axes, power = similarity.lp_axes(df, "v", "w", 3.0, 2)
+    centred = m - np.average(m, axis=0, weights=w)
+    value = lambda a: (w * np.abs(centred @ a) ** 3).sum()
+    assert np.allclose(axes @ axes.T, np.eye(2), atol=1e-6) and np.isclose(power[0], value(axes[0]), rtol=1e-5)
+    tries = rng.standard_normal((4000, 3))
+    assert value(axes[0]) >= max(value(a / np.linalg.norm(a)) for a in tries) * 0.999
+    flat = tries - np.outer(tries @ axes[0], axes[0])
+    assert value(axes[1]) >= max(value(a / np.linalg.norm(a)) for a in flat) * 0.999
+    assert similarity.lp_axes(df.limit(0), "v", "w", 3.0)[1].size == 0
+
+
+def test_projections(spark):
+    e = pd.read_parquet(f"{DIR}/embeddings.parquet")
+    m = np.stack(e.embedding).astype(float)
+    m -= m.mean(0)
+    axes = np.linalg.svd(m, full_matrices=False)[2][:2]
+    got = catalog.queries()["pc3_plain_projection"](spark, DIR).toPandas().set_index("vec_id").loc[e.vec_id]
+    assert np.allclose(np.abs(got[["pc1", "pc2"]]), np.abs(m @ axes.T), atol=1e-4)
+    assert catalog.queries()["pc2_lp_projection"](spark, DIR).count() == len(e)
+
+
+def test_jaccard_pairs(spark):
+    rng = random.Random(8)
+    sets = [(i, sorted({rng.choice("abcdefghij") for _ in range(rng.randint(0, 8))})) for i in range(120)]
+    df = spark.createDataFrame(sets, "k long, s array<string>")
+    for least in (0.3, 0.5, 0.8, 1.0):
+        want = {(i, j) for i, u in sets for j, v in sets if i < j and u and v and len(set(u) & set(v)) / len(set(u) | set(v)) >= least - 1e-9}
+        got = [(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "s", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_streams(spark, tmp_path):
+    d = f"{DIR}/events.parquet"
+    spark.read.parquet(d).repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(d)
+    events.keep_rollup(events.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "roll"), str(tmp_path / "cp"), ["event_type"])
+    want = {r.event_type: (r.n, r.cents) for r in table.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).collect()}
+    roll = lambda: {r.event_type: (r.n, r.cents) for r in events.read_rollup(spark, str(tmp_path / "roll"), ["event_type"]).collect()}
+    assert roll() == want
+    events.keep_rollup(events.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "roll"), str(tmp_path / "cp"), ["event_type"])
+    assert roll() == want
+    events.run_available(events.once(events.read_events(spark, str(tmp_path / "in"), 100), ["user_id"], "60 days"), str(tmp_path / "first"), str(tmp_path / "cp2"))
+    assert spark.read.parquet(str(tmp_path / "first")).count() == table.select("user_id").distinct().count()
+    events.run_available(events.sessions(events.read_events(spark, str(tmp_path / "in"), 100), "2 hours", "1 second"), str(tmp_path / "runs"), str(tmp_path / "cp3"))
+    x = pd.read_parquet(d).sort_values(["user_id", "ts"])
+    gap = x.ts - x.groupby("user_id").ts.shift() >= pd.Timedelta("2h")
+    runs = x.assign(run=(gap | (x.user_id != x.user_id.shift())).cumsum()).groupby("run").agg(user_id=("user_id", "first"), start=("ts", "min"), n=("ts", "size"))
+    known = {(u, str(s)[:19], n) for u, s, n in zip(runs.user_id, runs.start, runs.n)}
+    got = {(r.user_id, str(r.start)[:19], r.n) for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert got and got <= known and len(got) >= len(known) * 0.9
