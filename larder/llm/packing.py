@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rounds, table
 
@@ -51,7 +53,8 @@ def cuts(capacity: int, cut_cost: float = CUT_COST, shortest: int = SHORTEST) ->
 class Ids:
     """Token ids of a byte-level BPE tokenizer file (the JSON of the tokenizers library), special tokens' strings being
     ordinary text. Its vocabulary is given to tiktoken as ranks, which merges several times faster; that needs ids in the
-    order of merges, and a file of another kind is refused."""
+    order of merges, and a file of another kind is refused. A text on which tiktoken's pattern runs out of stack (about a
+    million blanks in a row) is encoded by the tokenizers library itself."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -66,10 +69,22 @@ class Ids:
         if ids != sorted(ids):
             raise ValueError("the tokenizer's ids are not in the order of its merges")
         ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if len(t) == 1 or i >= ids[0] and i <= ids[-1]}
-        self.encode = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.fast = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.path, self.slow = path, None
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return np.asarray(self.fast(text, disallowed_special=()), dtype=np.uint32)
+        except ValueError:
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def __call__(self, texts: list) -> list[np.ndarray]:
-        return [np.asarray(self.encode(t, disallowed_special=()), dtype=np.uint32) if t else np.empty(0, np.uint32) for t in texts]
+        return [self.encode(t) if t else np.empty(0, np.uint32) for t in texts]
 
 
 class Packer:
@@ -113,9 +128,10 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
 
     `tokenizer` is the file of a byte-level BPE tokenizer that every worker can read, `pattern` its pre-token pattern.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = ", ".join(f"`{n}` long" for n in names) + ", ids array<long>" * ids
+    schema = T.StructType([T.StructField(id_col, source.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in names[1:])] + [T.StructField("ids", T.ArrayType(T.LongType()))] * ids)
+    id_type = to_arrow_type(schema[0].dataType)
 
     def run(batches):
         encode, packer, plans = Ids(tokenizer, pattern), Packer(capacity, TaskContext.get().partitionId()), cuts(capacity)
@@ -125,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
             out, packer.done = packer.done, []
             if not out and not whole:
                 return None
-            cols = [pa.array([p[0][0] for p in out], pa.int64())] + [pa.array([p[i] for p in out], pa.int64()) for i in range(1, 7)]
+            cols = [pa.array([p[0][0] for p in out], id_type)] + [pa.array([p[i] for p in out], pa.int64()) for i in range(1, 7)]
             if ids:
                 cols.append(pa.array([p[0][1][p[1] : p[1] + p[2]].astype(np.int64) for p in out], pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(cols, names=[*names, *["ids"] * ids])

@@ -13,7 +13,7 @@ from larder.llm import common, hash_arrays, language_id, license_scan, lm_scorin
 
 DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 997}" for i in range(30_000)) + "."
-TEXTS = [None, "", "   \n\t ", "one two.", "under the mit license", LONG, "une phrase avec des mots de la langue.", "a b c d e f g h. " * 30, "a b c d e f g h. " * 30, "½ – « » … 中文 текст"]
+TEXTS = [None, "", "   \n\t ", "one two.", "under the mit license", LONG, "une phrase avec des mots de la langue.", "a b c d e f g h. " * 30, "a b c d e f g h. " * 30, "½ – « » … 中文 текст", " " * 1_500_000]
 
 
 @pytest.fixture(scope="module")
@@ -501,6 +501,21 @@ def test_packing(odd, docs):
     assert packing.pack(odd.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_packing_long_runs(spark):
+    """Runs of two million blanks, newlines, tabs or letters, repeated and null ids, an id of text."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = {k: t for k, t in zip("abcde", (" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000 + "end.", "a" * 2_000_000, "short"))}
+    df = spark.createDataFrame([*texts.items(), ("e", "short"), (None, "no id")], "doc_id string, text string")
+    p = packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN, ids=True).toPandas()
+    for key in "abcd":
+        ids = np.concatenate(list(p[p.doc_id == key].sort_values("start").ids))
+        assert ids.tolist() == [*tok.encode(texts[key], add_special_tokens=False).ids, 0]
+    assert (p.doc_id == "e").sum() == 2 and p.doc_id.isna().sum() == 1
+
+
 def test_packing_padding(spark):
     p = queries.QUERIES["op8_packing"](spark, "/root/testdata/sf0.1").groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
     assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in p) < 0.02 * p.sum()
