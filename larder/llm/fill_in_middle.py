@@ -1,10 +1,9 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
-Rows are dealt once by their text, so equal texts meet in one task. The texts of a task are grouped by their content
-itself, each distinct text gets its token boundaries as an Elias-Fano list, and the list is joined back to the rows by
-content again; both sides read the same exchange. Every row then selects its two cuts from the list in constant space.
-A text that very many rows share is dealt over parts, each of which holds at most about `hot_rows` rows and its own
-copy of the list.
+Rows are dealt once by their text and sorted by it, so equal texts lie together and are told apart by their content
+itself. Each distinct text gets its token boundaries as an Elias-Fano list once; its rows join the list as they pass, a
+batch at a time, and each selects its two cuts from it. A text that very many rows share is dealt over parts, each of
+which holds about `hot_rows` rows and its own copy of the list.
 
 An Elias-Fano list holds m growing numbers below u as their low bits, l = log2(u / m) each, and a bit vector in which the
 i-th one stands at the number's high part plus i: about 2 + l bits a boundary.
@@ -16,6 +15,8 @@ are not looked at, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,9 +32,6 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Rows of one text beyond which it is dealt over parts.
 HOT_ROWS = 1_000
 
-INDEX = T.StructType([T.StructField("n", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
-CUTS = T.StructType([T.StructField("first", T.LongType()), T.StructField("second", T.LongType())])
-
 
 def boundaries(text: str) -> np.ndarray:
     """Code points before each token and after the last. A token is a run of ASCII letters or one other code point."""
@@ -76,26 +74,36 @@ def select(low: bytes, high: bytes, m: int, top: int, ranks: np.ndarray) -> np.n
     return value
 
 
-@F.arrow_udf(INDEX)
-def _index(texts: pa.Array) -> pa.Array:
-    n, chars, low, high = [], [], [], []
-    for t in texts:
-        b = boundaries(t.as_py())
-        n.append(len(b) - 1)
-        chars.append(int(b[-1]))
-        a, c = elias_fano(b)
-        low.append(a)
-        high.append(c)
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip((n, chars, low, high), kinds)], names=["n", "chars", "low", "high"])
+class BoundaryList:
+    """The token boundaries of one text as an Elias-Fano list."""
+
+    def __init__(self, text: str):
+        numbers = boundaries(text)
+        self.n, self.chars = len(numbers) - 1, int(numbers[-1])
+        self.low, self.high = elias_fano(numbers)
 
+    def select(self, ranks: np.ndarray) -> np.ndarray:
+        return select(self.low, self.high, self.n + 1, self.chars, ranks)
 
-@F.arrow_udf(CUTS)
-def _cuts(index: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
-    out = np.zeros((len(first), 2), dtype=np.int64)
-    for i, (e, a, b) in enumerate(zip(index.to_pylist(), first.to_pylist(), second.to_pylist())):
-        out[i] = select(e["low"], e["high"], e["n"] + 1, e["chars"], np.array([a, b]))
-    return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["first", "second"])
+
+def _join_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of text: where the content changes, the next text's list is made; every row of the text joins it."""
+    text = index = None
+    for batch in batches:
+        ids, texts, one, two = (batch.column(i) for i in range(4))
+        many = texts.value_counts()  # distinct texts of the batch in order of sight, which is sorted
+        counts = many.field("counts").to_numpy()
+        cuts, sizes = [], []
+        at = 0
+        for own, count in zip(many.field("values").to_pylist(), counts.tolist()):
+            if own != text:
+                text, index = own, BoundaryList(own)
+            ranks = np.stack([one[at : at + count].to_numpy(), two[at : at + count].to_numpy()]) % (index.n + 1)
+            cuts.append(index.select(np.sort(ranks, axis=0).ravel()).reshape(2, count))
+            sizes.append(index.n)
+            at += count
+        first, second = np.concatenate(cuts, axis=1) if cuts else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([ids, texts, pa.array(np.repeat(np.array(sizes, np.int64), counts)), pa.array(first), pa.array(second)], names=["id", "text", "n", "first", "second"])
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -110,13 +118,6 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS)
     return rows.select("id", "text", part.alias("part")).repartition("text", "part")
 
 
-def text_index(rows: DataFrame) -> DataFrame:
-    """text, part and the boundary list of each distinct text; `rows` are dealt by text and part, so nothing moves."""
-    # The smallest hash of an id keeps the id in the exchange, which the rows themselves then use again.
-    texts = rows.groupBy("text", "part").agg(F.count("*").alias("copies"), F.min(F.xxhash64("id")).alias("sample"))
-    return texts.filter("copies > 0 and sample is not null").select("text", "part", _index("text").alias("index"))
-
-
 def number(digest: Column, k: int) -> Column:
     """The k-th group of eight hexadecimal digits, from 1, as an unsigned number."""
     return F.conv(F.substring(digest, 8 * k - 7, 8), 16, 10).cast("long")
@@ -136,20 +137,19 @@ def restored(output: Column, form: Column) -> Column:
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, fim_percent: int = FIM_PERCENT, spm_percent: int = SPM_PERCENT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """id, n (tokens), form (plain, psm, spm), prefix_chars, middle_chars and the output text."""
     rows = dealt(docs, id_col, text_col, hot_rows)
-    df = rows.join(text_index(rows), ["text", "part"])
-    df = df.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256))
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
+    rows = rows.sortWithinPartitions("text").select("id", "text", number(digest, 1).alias("one"), number(digest, 2).alias("two"))
+    schema = T.StructType([rows.schema["id"], rows.schema["text"], *(T.StructField(c, T.LongType()) for c in ("n", "first", "second"))])
+    df = rows.mapInArrow(_join_index, schema)
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
-    plain = (F.col("text") == "") | marked | (number(F.col("digest"), 3) % 100 >= fim_percent)
-    form = F.when(plain, "plain").when(number(F.col("digest"), 4) % 100 < spm_percent, "spm").otherwise("psm")
-    units = F.col("index.n") + 1
-    a, b = number(F.col("digest"), 1) % units, number(F.col("digest"), 2) % units
-    df = df.select("id", "text", F.col("index.n").alias("n"), form.alias("form"), _cuts("index", F.least(a, b), F.greatest(a, b)).alias("cut"))
-    first, second = F.col("cut.first").cast("int"), F.col("cut.second").cast("int")
+    plain = (F.col("text") == "") | marked | (number(digest, 3) % 100 >= fim_percent)
+    df = df.withColumn("form", F.when(plain, "plain").when(number(digest, 4) % 100 < spm_percent, "spm").otherwise("psm"))
+    first, second = F.col("first").cast("int"), F.col("second").cast("int")
     prefix, middle, suffix = F.substr("text", F.lit(1), first), F.substr("text", first + 1, second - first), F.substr("text", second + 1)
     psm, spm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle), F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
     is_plain = F.col("form") == "plain"
     return df.select(
-        F.col("id").alias(id_col), "n", "form", F.when(~is_plain, F.col("cut.first")).alias("prefix_chars"), F.when(~is_plain, F.col("cut.second") - F.col("cut.first")).alias("middle_chars"),
+        F.col("id").alias(id_col), "n", "form", F.when(~is_plain, F.col("first")).alias("prefix_chars"), F.when(~is_plain, F.col("second") - F.col("first")).alias("middle_chars"),
         F.when(is_plain, F.col("text")).when(F.col("form") == "psm", psm).otherwise(spm).alias("output"),
     )
 
