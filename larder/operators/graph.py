@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,28 +13,41 @@ from ..functions import text
 from .windows import top_per_group
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df by checkpoint, in the folder of spark.checkpoint.dir; in tests, where that is unset, a temporary one."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in tests, where that is unset, a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larder-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="larder-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by checkpoint."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back. What follows survives lost executors, and, unlike after a checkpoint,
+    the optimizer does not carry on what it has inferred about df, which grows from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/larder/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """node, component (its smallest node). Labels take the least of their neighbours', then of their label's, so that
     chains halve; each round is cut by a checkpoint. Raises if labels still change after so many rounds."""
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).filter("node is not null and to is not null").distinct()
-    both = _cut(both)
+    both = cut(both)
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("to")).alias("component"))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = _cut(step.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"), ))
+        step = cut(step.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"), ))
         changed = step.join(labels.withColumnRenamed("component", "was"), "node").filter("component <> was").limit(1).count()
         labels = step
         if not changed:
@@ -49,7 +63,7 @@ def split_components(members: DataFrame, component: str, name: str, smallest: in
     smaller side decides, ties go to the smaller word. Parts below `smallest` go. All components are cut at once, a round
     each, by counts of words; what is done leaves the rounds."""
     words = F.array_distinct(text.tokens(F.col(name), 2))
-    open_, done, keys = _cut(members.select(component, F.col(name), F.lit("").alias("part")).distinct()), None, [component, "part"]
+    open_, done, keys = cut(members.select(component, F.col(name), F.lit("").alias("part")).distinct()), None, [component, "part"]
     n, k, word = F.col("__n"), F.col("__k"), F.col("__word")
     for _ in range(rounds):
         sized = open_.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).filter(n >= smallest)
@@ -58,7 +72,7 @@ def split_components(members: DataFrame, component: str, name: str, smallest: in
         rank = F.when(able, F.struct((-(k * 10 + F.least(k, n - k))).alias("score"), word.alias("word"), (n - k).alias("rest")))
         best = count.groupBy(*keys).agg(F.max(k == n).alias("__shared"), F.min(rank).alias("__best"))
         cuts = best.filter(~F.col("__shared") & (F.col("__best.rest") >= 2)).select(*keys, F.col("__best.word").alias("__word"))
-        step = _cut(sized.drop("__n").join(cuts, keys, "left"))
+        step = cut(sized.drop("__n").join(cuts, keys, "left"))
         ended = step.filter(word.isNull()).select(component, name, "part")
         done = ended if done is None else done.union(ended)
         side = F.when(F.array_contains(words, word), F.concat("part", F.lit("+"))).otherwise(F.concat("part", F.lit("-")))
