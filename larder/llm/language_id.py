@@ -32,6 +32,8 @@ from .common import Codes, filter_texts, fold, map_texts, rounds, table
 SAMPLE = 3_000
 LEAST = 20
 STRETCH = 30
+#: A word counts for a language from this probability on; of a document's words that share must.
+SURE, LEAST_SURE = 0.7, 0.5
 #: Words of a language's lexicon feature: those seen so often in its part of the sample.
 LEXICON = 3
 BUCKETS = 1 << 15
@@ -308,18 +310,25 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
     return map_texts(docs, [id_col], text_col, make, fields)
 
 
-def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is among `languages` (None: any learned one) with that score at
-    least; by default all but those that are `und`, however many languages a text mixes."""
+def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None, sure: float = SURE, least: float = LEAST_SURE, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are written in the wanted languages (None: all learned ones), however many of
+    them a text mixes: the share of words whose likeliest label is wanted, with a probability of `sure` at least, is `least`
+    or more, or within two standard errors of it. A text of other languages or of none leaves the model unsure, word by
+    word; a few words alone reject nothing. A text without a letter goes, and no other where no language was learned."""
     sent = docs.sparkSession.sparkContext.broadcast(crf)
-    wanted = None if languages is None else set(languages)
 
     def make():
         tagger = Tagger(sent.value)
+        wanted = np.array([languages is None or x in languages for x in tagger.crf.labels], dtype=bool)
 
         def fn(texts):
-            lang, score, _ = tagger.documents(texts)
-            return np.array([(x != UND if wanted is None else x in wanted) and s >= min_score for x, s in zip(lang, score)], dtype=bool)
+            _, lengths, post = tagger.words(texts)
+            if not len(post):
+                return np.asarray(lengths > 0)
+            good = wanted[post.argmax(1)] & (post.max(1) >= sure)
+            n = np.maximum(lengths, 1)
+            share = np.bincount(np.repeat(np.arange(len(texts)), lengths), good, len(texts)) / n
+            return (lengths > 0) & (share + 1 / np.sqrt(n) >= least)
 
         return fn
 

@@ -1,5 +1,6 @@
 """The ten operators and the pipeline: odd inputs, brute force on small tables, held-out accuracy."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -312,6 +313,24 @@ def test_language_words(spark):
     assert len(language_id.fit(languages).labels) > 150 and len(language_id.fit(languages, sample=1).labels) > 150
 
 
+def test_languages_kept_by_the_model(spark, docs, texts):
+    """Texts of other languages and of random letters go, though they have letters; those of the learned languages stay,
+    mixed ones and very short ones too; wanted languages are told apart."""
+    rng = random.Random(1)
+    letters = {"ru": "абвгдежзиклмнопрстуфхцчшщыэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "none": "bcdfghjklmnpqrstvwxz"}
+    strange = {k: " ".join("".join(rng.choice(x) for _ in range(rng.randint(2, 9))) for _ in range(60)) for k, x in letters.items()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    long = {k: next(i for i in sorted(texts) if lang[i] == k and len(texts[i].split()) > 60) for k in ("en", "fr")}
+    known = {k: " ".join(texts[i].split()[:60]) for k, i in long.items()}
+    rows = {**strange, **known, "mixed": known["en"] + " " + known["fr"], "short": known["fr"].split()[0], "no letter": "12 %", "null": None}
+    df = spark.createDataFrame(list(rows.items()), "doc_id string, text string")
+    crf = language_id.fit(docs)
+    assert {r.doc_id for r in language_id.keep_languages(df, crf).collect()} == {"en", "fr", "mixed", "short"}
+    assert {r.doc_id for r in language_id.keep_languages(df, crf, ["fr"]).filter("doc_id <> 'short'").collect()} == {"fr", "mixed"}
+    kept = language_id.keep_languages(docs, crf)
+    assert kept.count() >= 0.99 * docs.filter("text rlike '[a-zA-Z]'").count()
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = queries.QUERIES["op5_language_id"](spark, d).join(common.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -618,7 +637,15 @@ def test_pipeline_by_brute_force(spark, docs, texts):
     ids = {r.doc_id for r in clean.collect()}
     assert ids == {i for i, t in texts.items() if model.scores([t])[0][0] < toxicity.THRESHOLD}
     spoken = stages["language_id"](spark, docs, DIR)
-    assert {r.doc_id for r in spoken.collect()} == {i for i, t in texts.items() if language_id.words_of(t)}
+    crf = language_id.fit(docs)
+    tagger = language_id.Tagger(crf)
+
+    def spoken_words(text):
+        words = language_id.words_of(text)
+        return [p.max() >= 0.7 for p in crf._posteriors(tagger._emissions(words)[None])[0][0]] if words else []
+
+    sure = {i: spoken_words(t) for i, t in texts.items()}
+    assert {r.doc_id for r in spoken.collect()} == {i for i, x in sure.items() if x and sum(x) / len(x) + len(x) ** -0.5 >= 0.5}
     order = sorted(texts)
     want = classes(weighted([texts[i] for i in order]))
     kept = stages["minhash_near_dedup"](spark, docs, DIR)
@@ -646,3 +673,31 @@ def test_pipeline_odd_inputs(spark, odd, labels, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, df, d)
     assert packed.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), d).count() == 0
     assert corpus_pipeline.run(spark, d).count() == packed.count()
+
+
+def test_url_filter_by_bound(spark, tmp_path):
+    """Hosts that differ: the bound blocks bad ones in Spark and SQL alike, and other pages than raw rates would."""
+    rng = random.Random(3)
+    pages, labels = [], []
+    for d in range(12):
+        for h in range(6):
+            bad = (0.9 if d % 3 == 0 else 0.1) if h < 5 else 0.5
+            for n in range([1, 2, 40, 15, 0, 3][h] or 2):
+                key = len(pages)
+                pages.append((key, f"https://h{h}.site{d}.{'net' if d % 2 else 'info'}/p/{n}"))
+                if h != 4:
+                    labels.append((key, 1, int(rng.random() < bad)))
+    d = str(tmp_path)
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{d}/labels.parquet")
+    out = queries.QUERIES["op4_url_filter"](spark, d).collect()
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"create view {name} as select * from '{d}/{name}.parquet/*.parquet'")
+    theirs = {r[0]: r[4] for r in con.sql(f"select page_id, host, path, rule, verdict from ({url_filter.OP4_SQL})").fetchall()}
+    assert {r.page_id: r.verdict for r in out} == theirs
+    verdict, raw = {r.host: r.verdict for r in out}, {r.host: r.host_bad > 0.35 * r.host_n for r in out}
+    assert sum(v == "block" for v in verdict.values()) > 10 and any(v == "block" and raw[h] is False for h, v in verdict.items()) and any(v == "allow" and raw[h] for h, v in verdict.items())
+    assert any(v == "block" and h.startswith("h4.") for h, v in verdict.items())  # a host without labels, by its domain
