@@ -4,7 +4,7 @@ Every stage works on all that its predecessor kept and takes part in the result.
 documents; the last returns the pieces of sequences.
 
 Defined results: rows with a null id go through all stages, and near-duplicates are not sought among them. A null or
-empty text has no letter and goes with the language stage. Rows that repeat an id leave one row at the near-duplicates.
+empty text has no letter and goes with the language stage, and so does one in a language that no document is labelled with. Rows that repeat an id leave one row at the near-duplicates.
 A document that the mix takes twice has two rows from there on. Columns are kept whatever their names; an empty table
 gives an empty result.
 """
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters; one that mixes languages stays."""
+    """Documents whose words the model places in the learned languages, in several of them too."""
     larder.ship(spark)
     return language_id.keep_languages(docs, language_id.fit(docs))
 
