@@ -380,3 +380,21 @@ def jaccard_pairs(sets: DataFrame, key: str, elements: str, least: float) -> Dat
     near = F.least(F.size("u"), F.size("v")) >= F.greatest(F.size("u"), F.size("v")) * least - 1e-9
     similarity = text.jaccard(c("u"), c("v"))
     return pairs.filter(near & (similarity >= least - 1e-9)).select("a", "b", similarity.alias("similarity")).distinct()
+
+
+def jaccard_join(left: DataFrame, a: str, right: DataFrame, b: str, elements: str, least: float) -> DataFrame:
+    """a, b, similarity: keys of two frames (each distinct) whose sets of strings have at least that Jaccard similarity,
+    above 0. As in jaccard_pairs, sets meet at the first of their elements from rare to frequent; elements that one side does
+    not have count as frequent as they are on the other."""
+    sides = [df.select(c(k).alias("key"), F.array_distinct(elements).alias("s")).filter(F.size("s") > 0) for df, k in ((left, a), (right, b))]
+    many = sides[0].select(F.explode("s").alias("e")).union(sides[1].select(F.explode("s"))).groupBy("e").agg(F.count("*").alias("n"))
+    heads = []
+    for side in sides:
+        ranked = side.select("key", F.explode("s").alias("e")).join(many, "e").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("r"))
+        n = F.size("r")
+        first = F.slice("r", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+        heads.append(ranked.select("key", F.transform("r", lambda x: x["e"]).alias("s"), F.explode(first).alias("x")).select("key", "s", "x.e"))
+    pairs = heads[0].select("e", c("key").alias("x"), c("s").alias("u")).join(heads[1].select("e", c("key").alias("y"), c("s").alias("v")), "e")
+    near = F.least(F.size("u"), F.size("v")) >= F.greatest(F.size("u"), F.size("v")) * least - 1e-9
+    similarity = text.jaccard(c("u"), c("v"))
+    return pairs.filter(near & (similarity >= least - 1e-9)).select(c("x").alias(a), c("y").alias(b), similarity.alias("similarity")).distinct()

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _gather() -> None:
-    from . import business, consolidation, graphs, matching, offers, relational, rollups, shopping, social  # noqa: F401  their functions register themselves
+    from . import business, consolidation, graphs, matching, offers, relational, rollups, search, shopping, social  # noqa: F401  their functions register themselves
 
 
 def queries() -> dict[str, Callable]:

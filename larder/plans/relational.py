@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import windows
+from ..operators import ranking, windows
 from .catalog import query
 from .tables import t
 
@@ -215,9 +215,7 @@ def wn7(spark, d):
 def wn9(spark, d):
     """Ranks with equal places for equal counts; what is ordered as a whole are the distinct counts, not users."""
     n = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    counts = n.groupBy("n").agg(F.count("*").alias("users"))
-    place = F.coalesce(F.sum("users").over(W.orderBy(c("n").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    return n.join(counts.select("n", place.cast("int").alias("place")), "n").select("user_id", "n", "place", (c("user_id") == 5).alias("is_viewer"))
+    return ranking.ranked(n, "n").select("user_id", "n", c("place").cast("int").alias("place"), (c("user_id") == 5).alias("is_viewer"))
 
 
 @query("sr2_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -228,12 +226,13 @@ def sr2(spark, d):
 @query("sr7_store_order", """SELECT s_suppkey, n_items, missing, CAST(row_number() OVER (ORDER BY missing, total, s_suppkey) AS INTEGER) AS place FROM (SELECT s_suppkey, count(DISTINCT l_partkey) AS n_items, (SELECT count(*) FROM part) - count(DISTINCT l_partkey) AS missing,
     sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey)""")
 def sr7(spark, d):
-    """Stores by products that they do not sell, then by total; one row per store is ranked."""
+    """Stores by products that they do not sell, then by total; ranked by ranges."""
     li = t(spark, d, "lineitem").select(c("l_suppkey").alias("s_suppkey"), "l_partkey", money.cents(c("l_extendedprice")).alias("x"))
     g = li.groupBy("s_suppkey", "l_partkey").agg(F.sum("x").alias("x")).groupBy("s_suppkey").agg(F.count("*").alias("n_items"), F.sum("x").alias("total"))
     parts = t(spark, d, "part").agg(F.count("*").alias("parts"))
     g = g.join(F.broadcast(parts), F.lit(True)).withColumn("missing", c("parts") - c("n_items"))
-    return g.select("s_suppkey", "n_items", "missing", F.row_number().over(W.orderBy("missing", "total", "s_suppkey")).alias("place"))
+    g = ranking.numbered(g, [], [c("missing"), c("total"), c("s_suppkey")])
+    return g.select("s_suppkey", "n_items", "missing", c("place").cast("int").alias("place"))
 
 
 @query("st1_union_distinct", "SELECT p_brand AS word FROM part UNION SELECT c_mktsegment FROM customer")

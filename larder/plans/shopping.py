@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, standard, text, titles, units
-from ..operators import batches, spatial, windows
+from ..operators import batches, spatial, text_search, windows
 from ..sources import io
 from .catalog import query
 from .tables import t
@@ -305,8 +305,7 @@ def jn13(spark, d):
     Texts meet as distinct names before customers do."""
     names = t(spark, d, "part").select("p_name").distinct()
     dish = names.select(c("p_name"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    held = names.select(c("p_name").alias("own"))
-    pairs = dish.select("w").distinct().join(held, F.contains(c("own"), c("w")))
+    pairs = text_search.contained(dish, "w", names, "p_name").select(c("part").alias("w"), c("whole").alias("own"))
     o = t(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey", c("o_orderkey").alias("l_orderkey"))
     own = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").join(t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), c("p_name").alias("own")), "l_partkey").select("o_custkey", "own").distinct()
     return own.join(pairs, "own").select("o_custkey", "w").distinct().join(dish, "w").groupBy("o_custkey", "p_name").agg(F.count("*").alias("n"))
