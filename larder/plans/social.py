@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import windows
+from ..streaming import streaks
 from .catalog import query
 from .tables import t
 
@@ -210,3 +211,9 @@ def a2(spark, d):
     """Neighbouring events of a user."""
     nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return t(spark, d, "events").select("user_id", c("event_type").alias("a"), nxt.alias("b")).filter("b is not null").groupBy("user_id", "a", "b").agg(F.count("*").alias("n"))
+
+
+@query("tx4_streaks")
+def tx4(spark, d):
+    """What became of every user's actions in order, and their streak, tokens and milestones after each."""
+    return streaks.folded(streaks.as_actions(t(spark, d, "events")))
