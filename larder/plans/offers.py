@@ -240,12 +240,6 @@ _RECIPE = ["Fresh chopped {}, to taste", "Organic {} 12 oz bag", "large {} plus
 _SHOP = ["{} Tomato Soup 8 Oz", "Brand® {} in extra virgin olive oil", "cold-pressed {} - Good & Fine", "{} 16oz unsalted", "{}, 6 pack", "{} - 14g Protein"]
 
 
-def _sql_steps(x, steps):
-    for pattern, to in steps:
-        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
-    return f"trim(regexp_replace({x}, '\\s{{2,}}', ' ', 'g'))"
-
-
 def _sql_choice(n, values):
     return f"CASE {n} % {len(values)} " + " ".join("WHEN {} THEN '{}'".format(i, v.replace("{}", "' || p_name || '")) for i, v in enumerate(values)) + " END"
 
@@ -254,15 +248,25 @@ def _titles(values):
     return F.replace(_choice(c("p_size"), *values), F.lit("{}"), c("p_name"))
 
 
-_PLAIN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+def _recipe_sql(x):
+    """The recipe cleaner over words, in SQL."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    plain = f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+    words = f"array_to_string(list_filter(string_split({plain}, ' '), lambda w: w NOT IN ({quoted(titles.PREPARATION)})), ' ')"
+    short = f"trim(regexp_replace(' ' || {words} || ' ', ' ({'|'.join(titles.OPTIONAL)}) ', ' ', 'g'))"
+    return f"regexp_replace({short}, ' [0-9]+ ?({'|'.join(titles.TAIL_UNITS)})( .*)?$', '')"
+
+
+#: What the cleaner of shop titles makes of the titles of _SHOP.
+_SHOP_NAMES = ["Tomato Soup {}", "Brand {}", "{}", "{}", "{}", "{}"]
 
 
-@query("s15_recipe_name", f"SELECT p_partkey, {_sql_steps(_PLAIN.format(_sql_choice('p_size', _RECIPE)), titles.RECIPE_STEPS)} AS name FROM part")
+@query("s15_recipe_name", f"SELECT p_partkey, {_recipe_sql(_sql_choice('p_size', _RECIPE))} AS name FROM part")
 def s15(spark, d):
     return t(spark, d, "part").select("p_partkey", titles.recipe_name(_titles(_RECIPE)).alias("name"))
 
 
-@query("s16_shop_name", f"SELECT p_partkey, {_sql_steps(_sql_choice('p_size', _SHOP), titles.title_steps())} AS name FROM part")
+@query("s16_shop_name", f"SELECT p_partkey, trim({_sql_choice('p_size', _SHOP_NAMES)}) AS name FROM part")
 def s16(spark, d):
     return t(spark, d, "part").select("p_partkey", titles.shop_name(_titles(_SHOP)).alias("name"))
 
@@ -270,8 +274,8 @@ def s16(spark, d):
 _OWN_UNITS = ["fl oz", "oz", "g"]
 
 
-@query("s19_name_by_context", f"""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN {_sql_steps(_PLAIN.format(_sql_choice('p_size', _RECIPE)), titles.RECIPE_STEPS)}
-    ELSE {_sql_steps(_sql_choice('p_size', _RECIPE), titles.title_steps(_OWN_UNITS))} END AS name FROM part""")
+@query("s19_name_by_context", f"""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN {_recipe_sql(_sql_choice('p_size', _RECIPE))}
+    ELSE {_sql_choice('p_size', ["Fresh chopped {}, to taste", "Organic {}", "large {} plus more", "{}"])} END AS name FROM part""")
 def s19(spark, d):
     """Names of recipes and pantries, and titles of shops with units of their own."""
     kind = _choice(c("p_partkey"), "recipe", "pantry", "scraper")
