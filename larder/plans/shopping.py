@@ -188,7 +188,7 @@ def s23(spark, d):
 
 @query("s34_batches")
 def s34(spark, d):
-    """Documents of a source in batches of at most 64 texts and 12,000 characters, in order of id, cut anew every 10,000 ids."""
+    """Documents of a source in batches of at most 64 texts and 12,000 characters, in order of id: the greedy cut."""
     x = t(spark, d, "documents").filter("doc_id is not null and text is not null")
     size = F.greatest(F.lit(1), F.length(F.trim(F.regexp_replace("text", r"\s+", " "))))
     return batches.in_order(x.select("source", "doc_id", size.alias("chars")), "source", "doc_id", "chars")

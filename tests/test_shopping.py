@@ -21,14 +21,14 @@ def one(spark, x):
 
 def test_batches(spark):
     rng = random.Random(3)
-    rows = [(rng.choice(["a", "b", None]), i * 7, rng.choice([1, 10, 40, 300])) for i in range(400)]
-    got = {(r.q, r.k): r.batch for r in batches.in_order(spark.createDataFrame(rows, "q string, k long, n int"), "q", "k", "n", 5, 100, 1000).collect()}
-    assert len(got) == 400
+    rows = [(rng.choice(["a", "b", "b", None]), i * i * 7, rng.choice([0, 1, 10, 40, 300])) for i in range(600)]
+    got = {(r.q, r.k): r.batch for r in batches.in_order(spark.createDataFrame(rows, "q string, k long, n int"), "q", "k", "n", 5, 100).collect()}
+    assert len(got) == 600
     for q in ("a", "b", None):
-        at, n, total, block = None, 0, 0, None
+        at, n, total = None, 0, 0
         for _, k, size in sorted((r for r in rows if r[0] == q), key=lambda r: r[1]):
-            if k // 1000 != block or n == 5 or total + size > 100:
-                at, n, total, block = k, 0, 0, k // 1000
+            if at is None or n == 5 or total + size > 100:
+                at, n, total = k, 0, 0
             n, total = n + 1, total + size
             assert got[q, k] == at
     assert batches.in_order(spark.createDataFrame([], "q string, k long, n int"), "q", "k", "n").count() == 0
