@@ -106,6 +106,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable[[]
                 cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 arrays = cols + [pa.array(out[n], type=t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *types])
+        fn = batch = texts = out = cols = arrays = None  # noqa: F841  freed before memory goes back
         release()
 
     return source.mapInArrow(run, schema)
@@ -121,6 +122,8 @@ def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[li
             texts = batch.column(at).to_pylist()
             for a, b in rounds(texts):
                 yield batch.slice(a, b - a).filter(pa.array(np.asarray(fn(texts[a:b]), dtype=bool)))
+        fn = batch = texts = None  # noqa: F841
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

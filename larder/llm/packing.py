@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import rounds, table
+from .common import release, rounds, table
 
 #: Fixed parameters of the query.
 CAPACITY = 1024
@@ -160,6 +160,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
                     yield rows(False)
         packer.finish()
         yield rows(True)
+        encode = packer = batch = texts = tokens = row = None  # noqa: F841  freed before memory goes back
+        release()
 
     return source.mapInArrow(run, schema)
 
