@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dirty_json, matching, money, quantities, text, titles
-from ..operators import similarity, windows
+from ..operators import graph, similarity, windows
+from ..sources import kept
 from .catalog import query
 from .tables import t
 
@@ -432,18 +435,26 @@ def st8(spark, d):
 
 @query("snk6_soft_delete", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 3 <> 0)")
 def snk6(spark, d):
-    """Rows marked as deleted, a third of them restored; reads see what is not deleted."""
-    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("timestamp").alias("deleted_at"))
-    marked = o.withColumn("deleted_at", F.when(c("o_orderstatus") == "F", F.lit("2024-01-01 00:00:00").cast("timestamp")).otherwise(c("deleted_at")))
-    restored = marked.withColumn("deleted_at", F.when(c("o_orderkey") % 3 != 0, c("deleted_at")))
-    return restored.filter(c("deleted_at").isNull()).select("o_orderkey", "o_orderstatus")
-
-
-@query("snk8_bulk_ingest", "SELECT l_suppkey, l_partkey, cents, min(l_orderkey) AS l_orderkey FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) GROUP BY 1, 2, 3")
+    """Rows marked as deleted, a third of them restored; reads see what is not deleted. All runs twice."""
+    path = f"{graph.shared_dir(spark)}/larder/{uuid.uuid4().hex}"
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    closed = o.filter("o_orderstatus = 'F'")
+    for _ in range(2):
+        kept.append(spark, path, o, ["o_orderkey"], [c("o_orderkey")])
+        kept.mark(spark, path, closed, ["o_orderkey"], F.lit("2024-01-01 00:00:00"), True)
+        kept.mark(spark, path, closed.filter("o_orderkey % 3 = 0"), ["o_orderkey"], F.lit("2024-01-02 00:00:00"), False)
+    return kept.visible(spark, path, o.schema, ["o_orderkey"])
+
+
+@query("snk8_bulk_ingest", """WITH x AS (SELECT l_suppkey, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2, 3)
+    SELECT l_suppkey, l_partkey, cents, (row_number() OVER (ORDER BY l_suppkey, l_partkey, cents) - 1) // 500 AS batch, CASE WHEN cents > 9000000 THEN 'rejected' ELSE 'duplicate' END AS status, CASE WHEN cents > 9000000 THEN 'too high' END AS error FROM x""")
 def snk8(spark, d):
-    """Of rows with one dedupe key (store, product, price) the first is taken in."""
+    """Of rows with one dedupe key (store, product, price) the first is taken in, by batches; the second run finds them all."""
+    path = f"{graph.shared_dir(spark)}/larder/{uuid.uuid4().hex}"
     x = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", money.cents(c("l_extendedprice")).alias("cents"), "l_orderkey")
-    return x.groupBy("l_suppkey", "l_partkey", "cents").agg(F.min("l_orderkey").alias("l_orderkey"))
+    load = lambda: kept.bulk_load(spark, path, x, ["l_suppkey", "l_partkey", "cents"], [c("l_suppkey"), c("l_partkey"), c("cents"), c("l_orderkey")], F.when(c("cents") > 9_000_000, "too high"))
+    load()
+    return load()
 
 
 @query("snk10_comparison_export", """WITH x AS (SELECT s_nationkey, s_suppkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
@@ -461,7 +472,11 @@ def snk10(spark, d):
 
 @query("snk12_calculation_log", """SELECT o_custkey, to_json({'orders': count(DISTINCT o_orderkey), 'items': count(*)})::VARCHAR AS inputs, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total_cents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def snk12(spark, d):
-    """A row of inputs and result for each calculation of a basket, to be appended."""
+    """A row of inputs and result for each calculation of a basket, appended once however often it is sent."""
     li = t(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(money.cents(c("l_extendedprice"))).alias("v"))
     x = t(spark, d, "orders").select("o_orderkey", "o_custkey").join(li, "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("n").alias("items"), F.sum("v").alias("total_cents"))
-    return x.select("o_custkey", F.to_json(F.struct("orders", "items")).alias("inputs"), "total_cents")
+    x = x.select("o_custkey", F.to_json(F.struct("orders", "items")).alias("inputs"), "total_cents")
+    path = f"{graph.shared_dir(spark)}/larder/{uuid.uuid4().hex}"
+    for _ in range(2):
+        kept.append(spark, path, x, ["o_custkey", "inputs"], [c("total_cents")])
+    return kept.read(spark, path, x.schema)

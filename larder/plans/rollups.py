@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import windows
+from ..operators import graph, windows
+from ..sources import kept
 from .catalog import query
 from .tables import t
 
@@ -182,11 +185,15 @@ def s32(spark, d):
     return t(spark, d, "events").select("event_id", text.idempotency_key(c("event_type"), c("user_id")).alias("key"))
 
 
-@query("snk7_idempotent", "SELECT min(event_id) AS event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)")
+@query("snk7_idempotent", """SELECT min(event_id) AS event_id, user_id, event_type, CAST(ts AS DATE) AS day, min(event_id) % 2 = 0 AS duplicate FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
 def snk7(spark, d):
-    """Of events with one key the earliest."""
+    """Of events with one key the earliest, and whether an append of them found it there (here: those of even number)."""
+    path = f"{graph.shared_dir(spark)}/larder/{uuid.uuid4().hex}"
     e = t(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
-    return e.groupBy("user_id", "event_type", "day").agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type", "day")
+    keys, order = ["user_id", "event_type", "day"], [c("event_id")]
+    first = windows.top_per_group(e, keys, order)
+    kept.append(spark, path, first.filter("event_id % 2 = 0"), keys, order)
+    return kept.append(spark, path, e, keys, order)
 
 
 @query("pc1_label_centres", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x1, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS x2 FROM embeddings GROUP BY label")
