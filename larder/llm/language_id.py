@@ -313,7 +313,7 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
 def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None, sure: float = SURE, least: float = LEAST_SURE, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that are written in the wanted languages (None: all learned ones), however many of
     them a text mixes: the share of words whose likeliest label is wanted, with a probability of `sure` at least, is `least`
-    or more, or within two standard errors of it. A text of other languages or of none leaves the model unsure, word by
+    or more, or within three standard errors of it. A text of other languages or of none leaves the model unsure, word by
     word; a few words alone reject nothing. A text without a letter goes, and no other where no language was learned."""
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -328,7 +328,7 @@ def keep_languages(docs: DataFrame, crf: Crf, languages: list[str] | None = None
             good = wanted[post.argmax(1)] & (post.max(1) >= sure)
             n = np.maximum(lengths, 1)
             share = np.bincount(np.repeat(np.arange(len(texts)), lengths), good, len(texts)) / n
-            return (lengths > 0) & (share + 1 / np.sqrt(n) >= least)
+            return (lengths > 0) & (share + 1.5 / np.sqrt(n) >= least)
 
         return fn
 

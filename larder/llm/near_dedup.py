@@ -80,7 +80,7 @@ class Shingles:
         left = np.repeat(ends, n) - np.arange(len(h))  # words from here to the text's end
         for j in range(k):
             part = np.zeros(len(h), dtype=np.uint64)
-            part[: len(h) - j] = h[j:] * self.odd[j]
+            part[: max(0, len(h) - j)] = h[j:] * self.odd[j]
             s += np.where(left > j, part, np.uint64(0))
         first = np.arange(len(h)) == np.repeat(ends - n, n)
         use = (left >= k) | (first & (np.repeat(n, n) < k))
