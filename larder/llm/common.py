@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 #: A word of the contracts: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters of text that one round of a Python operator holds as words at most (a longer text makes a round of its own).
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 600_000
 MASK64 = (1 << 64) - 1
 
 
@@ -88,6 +89,17 @@ def rounds(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_rounds(column: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """Slices of a column of texts that hold about CHUNK_CHARS bytes each, and their texts: only these are Python's."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= CHUNK_CHARS or i + 1 == len(sizes):
+            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
+            start, size = i + 1, 0
+
+
 def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable[[], Callable[[list], dict]], fields: list[T.StructField]) -> DataFrame:
     """For each row the columns `keep` and the ones that a function computes from the texts of many rows at once.
 
@@ -100,9 +112,8 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable[[]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in rounds(texts):
-                out = fn(texts[a:b])
+            for a, b, texts in text_rounds(batch.column(batch.num_columns - 1)):
+                out = fn(texts)
                 cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 arrays = cols + [pa.array(out[n], type=t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *types])
@@ -119,9 +130,8 @@ def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in rounds(texts):
-                yield batch.slice(a, b - a).filter(pa.array(np.asarray(fn(texts[a:b]), dtype=bool)))
+            for a, b, texts in text_rounds(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(np.asarray(fn(texts), dtype=bool)))
         fn = batch = texts = None  # noqa: F841
         release()
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import release, rounds, table
+from .common import release, table, text_rounds
 
 #: Fixed parameters of the query.
 CAPACITY = 1024
@@ -147,9 +147,9 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays(cols, names=[*names, *["ids"] * ids])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in rounds(texts):
-                for key, tokens in zip(keys[a:b], encode(texts[a:b])):
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in text_rounds(batch.column(1)):
+                for key, tokens in zip(keys[a:b], encode(texts)):
                     tokens = np.concatenate([tokens, end])
                     at, n = 0, len(tokens)
                     row = (key, tokens if ids else None)
