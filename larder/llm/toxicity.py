@@ -33,8 +33,8 @@ NEIGHBOURS = 16
 BLOCK = 32
 #: Terms that are held by block.
 FREQUENT = 1_024
-#: Texts that are looked up at a time.
-AT_ONCE = 128
+#: Texts that are looked up at a time, and those whose entries of rare terms are held at a time.
+AT_ONCE, ADDED_AT_ONCE = 128, 8
 #: A document is toxic at this score.
 THRESHOLD = 0.3
 #: Added to each term's chi-square (1 degree of freedom), so that terms without a lean still count; unseen terms have 0.
@@ -107,9 +107,13 @@ class BlockMaxIndex:
         q = np.zeros((n_queries, len(self.frequent)))
         q[owner[often], slot[often]] = w[often]
         t, w, owner = t[~often], w[~often], owner[~often]
-        n = self.of_term[t + 1] - self.of_term[t]
-        at = _spans(self.of_term[t], n)
-        scores = np.bincount(np.repeat(owner * width, n) + self.rows[at].astype(np.int64), self.weights[at] * np.repeat(w, n), n_queries * width).astype(float).reshape(n_queries, self.n_blocks, self.block)
+        scores = np.empty((n_queries, self.n_blocks, self.block))
+        for first in range(0, n_queries, ADDED_AT_ONCE):
+            few = scores[first : first + ADDED_AT_ONCE]
+            own = slice(*np.searchsorted(owner, (first, first + len(few))))
+            n = self.of_term[t[own] + 1] - self.of_term[t[own]]
+            at = _spans(self.of_term[t[own]], n)
+            few[:] = np.bincount(np.repeat((owner[own] - first) * width, n) + self.rows[at], self.weights[at] * np.repeat(w[own], n), few.size).reshape(few.shape)
         bound = scores.max(2) + q @ most
         done = bound <= 0
         opened = np.zeros(n_queries)

@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,19 @@ def test_toxicity(spark, odd, labels, docs):
     assert opened.min() < 1
 
 
+def test_toxicity_memory():
+    """Entries of rare terms are held for a few queries at a time (all 128 at once took 27 MB here)."""
+    rng = np.random.default_rng(2)
+    vectors = [(np.sort(rng.choice(3000, 100, replace=False)), np.full(100, 0.1)) for _ in range(2000)]
+    index = toxicity.BlockMaxIndex(vectors, 3000, frequent=64)
+    index.nearest(vectors[:1], 16)
+    tracemalloc.start()
+    found, _ = index.nearest(vectors[:128], 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(near[0]) for near, _ in found] == list(range(128)) and peak < 16_000_000
+
+
 def test_toxicity_brute_force(spark, docs):
     """Neighbours, votes and scores of the whole table against plain loops over all examples."""
     rows = docs.join(common.table(spark, DIR, "labels"), "doc_id").filter(common.fold("doc_id", 4) != 2).orderBy("doc_id").collect()
@@ -624,6 +639,16 @@ def test_nearest_ties_over_cells(spark):
     assert [r.vec_id for r in out] == [1, 2, 3, 4, 5] and len({round(r.score, 12) for r in out}) == 1
 
 
+def test_pipeline_batches(spark, docs):
+    """A split of texts comes to a stage's tasks in small Arrow batches, whole."""
+    text = F.concat(F.col("id").cast("string"), F.lit(" words" * 1000))
+    for key in corpus_pipeline.BATCHES:
+        spark.conf.unset(key)
+    dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, DIR)
+    sizes = spark.range(0, 4000, 1, 1).select(text.alias("text")).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in sizes) == 4000 and max(r["bytes"] for r in sizes) < 5_000_000
+
+
 def test_pipeline(spark, docs):
     df, columns = docs, docs.columns
     for name, stage in corpus_pipeline.STAGES:
