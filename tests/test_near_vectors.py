@@ -29,7 +29,7 @@ def by_sql(name):
     return con.sql(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["jn11_nearest_25"])
+@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink"])
 def test_same_rows_when_dealt(spark, dealt, name):
     want = by_sql(name)
     got = sorted(tuple(r[x] for x in want.columns) for r in catalog.queries()[name](spark, DIR).collect())
