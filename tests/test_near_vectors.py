@@ -1,10 +1,11 @@
-"""Queries of near vectors against their SQL where groups are dealt to many partitions."""
+"""Queries of near vectors against their SQL where groups are dealt to many partitions, and which queries they ask."""
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from larder.operators import similarity
+from larder.operators import similarity, vector_pairs
 from larder.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -29,13 +30,21 @@ def by_sql(name):
     return con.sql(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink"])
+@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink", "jn10_new_pairs"])
 def test_same_rows_when_dealt(spark, dealt, name):
     want = by_sql(name)
     got = sorted(tuple(r[x] for x in want.columns) for r in catalog.queries()[name](spark, DIR).collect())
     assert got == sorted(want.fetchall())
 
 
+def test_all_vectors_are_asked(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    pairs = catalog.queries()["jn10_new_pairs"](spark, DIR).collect()
+    assert {r.a for r in pairs} | {r.b for r in pairs} == ids
+    most = max(sum(x in (r.a, r.b) for r in pairs) for x in range(50))
+    assert most > 25  # no cut at so many nearest
+
+
 def test_equal_vectors_tie(spark, dealt):
     """Many equal rows, of other lengths too, have one cosine and come by their keys, in whatever block they stand."""
     rng = np.random.default_rng(1)
@@ -47,3 +56,39 @@ def test_equal_vectors_tie(spark, dealt):
     assert [(r.a, r.b, r.cosine) for r in got] == [(0, i, 1.0) for i in range(3, 39, 3)]
     few = similarity.nearest_vectors(df, df.filter("id < 3"), "id", "v", 100, rows=11).collect()
     assert len(few) == 3 * 59
+
+
+@pytest.mark.parametrize("components", [1 << 22, 90])
+def test_all_pairs(spark, dealt, components):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(80, 9))
+    m[40] = m[3]
+    rows = [(i, x.tolist(), None if i % 7 == 0 else i % 3) for i, x in enumerate(m)]
+    rows += [(200, m[0].tolist()[:5], 1), (201, m[1].tolist()[:5], 2), (202, [0.0] * 9, 1), (203, None, 1), (204, (m[2] * 1e-200).tolist(), 0)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, l int")
+    u = np.vstack([m, m[2]])
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    ids = [*range(80), 204]
+    label = {k: x for k, _, x in rows}
+    want = {(ids[i], ids[j]): round(u[i] @ u[j], 9) for i in range(81) for j in range(i + 1, 81) if round(u[i] @ u[j], 9) >= 0.2}
+    narrow = {(200, 201): round(float(m[0, :5] @ m[1, :5] / np.linalg.norm(m[0, :5]) / np.linalg.norm(m[1, :5])), 9)}
+    want |= {k: s for k, s in narrow.items() if s >= 0.2}
+    pairs = lambda **x: vector_pairs.all_pairs(df, "k", "v", 0.2, components=components, **x).collect()
+    got = pairs()
+    assert len(got) == len(want) and {(r.a, r.b): r.cosine for r in got} == want
+    other = {p for p in want if None in (label[p[0]], label[p[1]]) or label[p[0]] != label[p[1]]}
+    assert {(r.a, r.b) for r in pairs(apart="l")} == other != set(want)
+    some = sorted(want)[::2]
+    log = spark.createDataFrame([(b, a) for a, b in some] + [(None, 1), (5, 5)], "a long, b long")
+    assert {(r.a, r.b) for r in pairs(log=log)} == set(want) - set(some)
+
+
+def test_bands_and_all_pairs(spark):
+    """Bands find nearly all pairs of all pairs, and both leave out the log's."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    log = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    pairs = lambda banded, **x: {(r.a, r.b): r.cosine for r in vector_pairs.cosine_pairs(e, "vec_id", "embedding", 0.35, recall=0.97, bucket=60, block=25, banded=banded, **x).collect()}
+    whole, found = pairs(False), pairs(True)
+    assert set(found) <= set(whole) and len(found) >= 0.9 * len(whole) and pairs(None) == whole
+    assert all(abs(whole[p] - s) < 1e-8 for p, s in found.items())
+    assert set(pairs(False, log=log)) == {p for p in whole if p[1] - p[0] != 1} and set(pairs(True, log=log)) == {p for p in found if p[1] - p[0] != 1}
