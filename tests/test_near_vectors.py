@@ -30,7 +30,7 @@ def by_sql(name):
     return con.sql(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink", "jn10_new_pairs"])
+@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink", "jn10_new_pairs", "ml4_logged_pairs"])
 def test_same_rows_when_dealt(spark, dealt, name):
     want = by_sql(name)
     got = sorted(tuple(r[x] for x in want.columns) for r in catalog.queries()[name](spark, DIR).collect())
@@ -43,6 +43,8 @@ def test_all_vectors_are_asked(spark):
     assert {r.a for r in pairs} | {r.b for r in pairs} == ids
     most = max(sum(x in (r.a, r.b) for r in pairs) for x in range(50))
     assert most > 25  # no cut at so many nearest
+    query, names = catalog.queries()["ml4_logged_pairs"](spark, DIR), {r.p_name for r in spark.read.parquet(f"{DIR}/part.parquet").collect()}
+    assert len({n for r in query.collect() for n in (r.source, r.target)} & names) > len(names) // 2
 
 
 def test_equal_vectors_tie(spark, dealt):
