@@ -30,7 +30,7 @@ def by_sql(name):
     return con.sql(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink", "jn10_new_pairs", "ml4_logged_pairs"])
+@pytest.mark.parametrize("name", ["jn11_nearest_25", "ml2_relink", "jn10_new_pairs", "ml4_logged_pairs", "ml5_like_missing"])
 def test_same_rows_when_dealt(spark, dealt, name):
     want = by_sql(name)
     got = sorted(tuple(r[x] for x in want.columns) for r in catalog.queries()[name](spark, DIR).collect())
@@ -39,6 +39,7 @@ def test_same_rows_when_dealt(spark, dealt, name):
 
 def test_all_vectors_are_asked(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    assert {r.a for r in catalog.queries()["ml5_like_missing"](spark, DIR).collect()} == ids
     pairs = catalog.queries()["jn10_new_pairs"](spark, DIR).collect()
     assert {r.a for r in pairs} | {r.b for r in pairs} == ids
     most = max(sum(x in (r.a, r.b) for r in pairs) for x in range(50))
