@@ -115,24 +115,25 @@ _PLACES = """WITH s AS (SELECT s_suppkey, s_nationkey % 5 AS brand, s_suppkey *
     near AS (SELECT *, 2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(s.la - u.la) / 2), 2) + cos(radians(u.la)) * cos(radians(s.la)) * pow(sin(radians(s.lo - u.lo) / 2), 2)))) AS miles FROM u, s)"""
 
 
-def _in_radius(spark, d):
+def _places(spark, d):
     place = lambda k, times: (k * 37 % 4000 / 100.0, k * times % 9000 / 100.0)
     u, s = place(c("c_custkey"), 89), place(c("s_suppkey"), 61)
     users = t(spark, d, "customer").select("c_custkey", u[0].alias("lat"), u[1].alias("lng"))
-    stores = t(spark, d, "supplier").select("s_suppkey", (c("s_nationkey") % 5).alias("brand"), s[0].alias("place_lat"), s[1].alias("place_lng"))
-    return spatial.within(users, stores, 500_000.0).select("c_custkey", "s_suppkey", "brand", F.round("miles", 6).alias("miles"))
+    return users, t(spark, d, "supplier").select("s_suppkey", (c("s_nationkey") % 5).alias("brand"), s[0].alias("place_lat"), s[1].alias("place_lng"))
 
 
 @query("jn14_radius", f"{_PLACES} SELECT c_custkey, s_suppkey, round(miles, 6) AS miles FROM near WHERE miles * 1609.34 <= 500000")
 def jn14_radius(spark, d):
     """All stores within 500 km of each customer."""
-    return _in_radius(spark, d).drop("brand")
+    users, stores = _places(spark, d)
+    return spatial.within(users, stores.drop("brand"), 500_000.0, 6).select("c_custkey", "s_suppkey", "miles")
 
 
 @query("jn14_first_of_brand", f"""{_PLACES} SELECT c_custkey, brand, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey, brand ORDER BY round(miles, 6), s_suppkey) AS n FROM near WHERE miles * 1609.34 <= 500000) WHERE n = 1""")
 def jn14_brand(spark, d):
     """Of each brand the nearest store in that radius."""
-    return windows.top_per_group(_in_radius(spark, d), ["c_custkey", "brand"], [c("miles"), c("s_suppkey")]).select("c_custkey", "brand", "s_suppkey")
+    near = spatial.within(*_places(spark, d), 500_000.0, 6)
+    return windows.top_per_group(near, ["c_custkey", "brand"], [c("miles"), c("s_suppkey")]).select("c_custkey", "brand", "s_suppkey")
 
 
 # -- units ---------------------------------------------------------------------------------------------------------------
