@@ -132,8 +132,7 @@ def jn14_radius(spark, d):
 @query("jn14_first_of_brand", f"""{_PLACES} SELECT c_custkey, brand, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey, brand ORDER BY round(miles, 6), s_suppkey) AS n FROM near WHERE miles * 1609.34 <= 500000) WHERE n = 1""")
 def jn14_brand(spark, d):
     """Of each brand the nearest store in that radius."""
-    near = spatial.within(*_places(spark, d), 500_000.0, 6)
-    return windows.top_per_group(near, ["c_custkey", "brand"], [c("miles"), c("s_suppkey")]).select("c_custkey", "brand", "s_suppkey")
+    return spatial.nearest_within(*_places(spark, d), 500_000.0, "s_suppkey", "brand").select("c_custkey", "brand", "s_suppkey")
 
 
 # -- units ---------------------------------------------------------------------------------------------------------------
