@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money, text
-from ..operators import graph, windows
+from ..functions import text
+from ..operators import graph, spatial
 from ..sources import io
 from .catalog import query
 from .tables import t
@@ -59,10 +59,10 @@ def snk5(spark, d):
     FROM customer JOIN supplier ON c_nationkey = s_nationkey)) WHERE place <= 3""")
 def jn14(spark, d):
     """A customer's three nearest stores of the nation, by great-circle distance (coordinates are made from the keys)."""
-    s = t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("c_nationkey"))
-    x = t(spark, d, "customer").select("c_custkey", "c_nationkey").join(s, "c_nationkey")
-    m = F.round(money.haversine_miles((c("c_custkey") % 40).cast("double"), (c("c_custkey") % 90).cast("double"), (c("s_suppkey") % 40).cast("double"), (c("s_suppkey") % 90).cast("double")), 6)
-    return windows.top_per_group(x.select("c_custkey", "s_suppkey", m.alias("m")), ["c_custkey"], [c("m"), c("s_suppkey")], 3, "place").select("c_custkey", "s_suppkey", "place")
+    at = lambda key, lat, lng: ((c(key) % 40).cast("double").alias(lat), (c(key) % 90).cast("double").alias(lng))
+    s = t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("c_nationkey"), *at("s_suppkey", "place_lat", "place_lng"))
+    x = t(spark, d, "customer").select("c_custkey", "c_nationkey", *at("c_custkey", "lat", "lng"))
+    return spatial.nearest(x, s, "c_nationkey", "s_suppkey", 3).select("c_custkey", "s_suppkey", "place")
 
 
 @query("s12_trigrams")
