@@ -33,16 +33,16 @@ def _basket(spark, d):
     return windows.top_per_group(demand, ["nation"], [c("k").desc(), c("l_partkey")], 30).select("nation", "l_partkey")
 
 
-def _prices(spark, d):
+def _least(spark, d, li):
     """nation, store, product, its least price in cents."""
     s = t(spark, d, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("nation"))
-    li = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", money.cents(c("l_extendedprice")).alias("cents"))
+    li = li.select("l_suppkey", "l_partkey", money.cents(c("l_extendedprice")).alias("cents"))
     return li.groupBy("l_suppkey", "l_partkey").agg(F.min("cents").alias("cents")).join(s, "l_suppkey")
 
 
 def _compared(spark, d):
     basket = _basket(spark, d)
-    g = _prices(spark, d).join(basket, ["nation", "l_partkey"]).groupBy("nation", "l_suppkey").agg(F.count("*").alias("n_items"), F.sum("cents").alias("total"))
+    g = _least(spark, d, t(spark, d, "lineitem")).join(basket, ["nation", "l_partkey"]).groupBy("nation", "l_suppkey").agg(F.count("*").alias("n_items"), F.sum("cents").alias("total"))
     g = g.join(basket.groupBy("nation").agg(F.count("*").alias("size")), "nation").withColumn("missing", c("size") - c("n_items"))
     return g.withColumn("miles", F.when(c("l_suppkey") % 7 > 0, c("l_suppkey") * 13 % 50))
 
@@ -74,29 +74,49 @@ _PLAN = """WITH sold AS (SELECT c_nationkey AS nation, l_partkey, count(*) AS k
     plan AS (SELECT free.c_custkey, free.nation, CAST(day AS BIGINT) AS day, CAST(free.kind AS INTEGER) AS kind, l_partkey FROM free JOIN dish USING (c_custkey, kind, n))"""
 
 
-def _plan(spark, d):
+def _sized(spark, d):
+    """l_partkey, kind. Here and below, tables that grow are merged: their files look small enough to broadcast, their rows
+    are not."""
+    return t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), (c("p_size") % 3).alias("kind")).hint("merge")
+
+
+def _pool(spark, d):
+    """nation, kind, l_partkey, r: a nation's twelve favourite dishes of each kind, written once."""
+    cu = t(spark, d, "customer").select("c_custkey", c("c_nationkey").alias("nation")).hint("merge")
+    o = t(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("c_custkey"))
+    sold = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(o.join(cu, "c_custkey"), "l_orderkey").groupBy("nation", "l_partkey").agg(F.count("*").alias("k"))
+    return graph.stored(windows.top_per_group(sold.join(_sized(spark, d), "l_partkey"), ["nation", "kind"], [c("k").desc(), c("l_partkey")], 12, "r").drop("k"))
+
+
+def _plan(spark, d, pool):
     """A customer's meals of seven days and three kinds: open slots, in order, take the nation's favourite dishes of their
     kind that the customer has not planned. A dish is of one kind, so the n-th slot of a kind gets its n-th dish.
-    Orders of status P stand for meals that are planned; a kind's pool holds five dishes more than it has slots."""
-    part = t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), (c("p_size") % 3).alias("kind"))
-    li, cu = t(spark, d, "lineitem").select("l_orderkey", "l_partkey"), t(spark, d, "customer").select("c_custkey", c("c_nationkey").alias("nation"))
-    o = t(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("c_custkey"), "o_orderstatus")
-    sold = li.join(o.join(cu, "c_custkey"), "l_orderkey").groupBy("nation", "l_partkey").agg(F.count("*").alias("k")).join(part, "l_partkey")
-    pool = windows.top_per_group(sold, ["nation", "kind"], [c("k").desc(), c("l_partkey")], 12, "r").drop("k")
-    planned = li.join(o.filter("o_orderstatus = 'P'"), "l_orderkey")
-    dishes = planned.groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"), F.first("c_custkey").alias("c_custkey")).select("c_custkey", "l_partkey")
-    taken = planned.join(part, "l_partkey").select("c_custkey", (c("l_orderkey") % 7).alias("day"), "kind")
-    week = cu.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("day")).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("kind"))
-    slots = week.join(taken, ["c_custkey", "day", "kind"], "left_anti")
-    per_kind = slots.groupBy("c_custkey", "nation", "kind").agg(F.count("*").alias("slots"))
-    dish = per_kind.join(pool, ["nation", "kind"]).filter("r <= slots + 5").join(dishes, ["c_custkey", "l_partkey"], "left_anti").drop("nation", "slots")
-    return windows.pair_in_order(slots, dish, ["c_custkey", "kind"], [c("day")], [c("r")]).select("c_custkey", "nation", "day", "kind", "l_partkey")
+    Orders of status P stand for meals that are planned; a kind's pool holds five dishes more than it has slots.
+    A customer is one row until the end: days taken are bits, and of planned dishes only those of a pool are kept."""
+    kinds = range(3)
+    o = t(spark, d, "orders").filter("o_orderstatus = 'P'").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("c_custkey"))
+    planned = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").join(_sized(spark, d), "l_partkey")
+    bits = [F.bit_or(F.when(c("kind") == k, F.call_function("shiftleft", F.lit(1), (c("l_orderkey") % 7).cast("int")))).alias(f"taken{k}") for k in kinds]
+    order = planned.groupBy("l_orderkey", "c_custkey").agg(F.min("l_partkey").alias("l_partkey"), *bits)
+    known = order.join(F.broadcast(pool.select("l_partkey", F.lit(True).alias("pooled")).distinct()), "l_partkey", "left")
+    taken = known.groupBy("c_custkey").agg(F.collect_set(F.when(c("pooled"), c("l_partkey"))).alias("planned"), *[F.bit_or(f"taken{k}").alias(f"taken{k}") for k in kinds])
+    dishes = pool.groupBy("nation").agg(*[F.array_sort(F.collect_list(F.when(c("kind") == k, F.struct("r", "l_partkey")))).alias(f"pool{k}") for k in kinds])
+    week = t(spark, d, "customer").select("c_custkey", c("c_nationkey").alias("nation")).join(taken.hint("merge"), "c_custkey", "left").join(F.broadcast(dishes), "nation")
+
+    def meals(k):
+        bit = lambda x: F.coalesce(c(f"taken{k}"), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), x))
+        days = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda x: bit(x) == 0)
+        free = F.filter(f"pool{k}", lambda x: (x["r"] <= F.size(days) + 5) & ~F.coalesce(F.array_contains("planned", x["l_partkey"]), F.lit(False)))
+        n = F.least(F.size(days), F.size(free))
+        return F.zip_with(F.slice(days, F.lit(1), n), F.slice(free, F.lit(1), n), lambda day, x: F.struct(day.cast("long").alias("day"), F.lit(k).alias("kind"), x["l_partkey"].alias("l_partkey")))
+
+    return week.select("c_custkey", "nation", F.inline(F.concat(*map(meals, kinds))))
 
 
 @query("q17_weekly_plan", f"{_PLAN} SELECT c_custkey, day, kind, l_partkey FROM plan")
 def q17(spark, d):
     """Open slots of the week with their dishes, none twice and none planned already."""
-    return _plan(spark, d).drop("nation")
+    return _plan(spark, d, _pool(spark, d)).drop("nation")
 
 
 @query("q16_plan_store", f"""{_PLAN}, price AS (SELECT s_nationkey AS nation, l_suppkey, l_partkey, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
@@ -104,7 +124,10 @@ def q17(spark, d):
     FROM plan JOIN price USING (nation, l_partkey) GROUP BY 1, 2) WHERE r = 1""")
 def q16(spark, d):
     """For each customer's plan the store of the nation that has most of its dishes, then the cheapest."""
-    x = _plan(spark, d).join(_prices(spark, d), ["nation", "l_partkey"]).groupBy("c_custkey", "l_suppkey").agg(F.count("*").alias("n_dishes"), F.sum("cents").alias("total"))
+    pool = _pool(spark, d)
+    sold = t(spark, d, "lineitem").join(F.broadcast(pool.select("l_partkey").distinct()), "l_partkey", "left_semi")  # of no other dish a price is asked
+    prices = text_search.checked(_least(spark, d, sold).join(F.broadcast(pool.select("nation", "l_partkey")), ["nation", "l_partkey"], "left_semi"))
+    x = _plan(spark, d, pool).join(prices, ["nation", "l_partkey"]).groupBy("c_custkey", "l_suppkey").agg(F.count("*").alias("n_dishes"), F.sum("cents").alias("total"))
     return windows.top_per_group(x, ["c_custkey"], [c("n_dishes").desc(), c("total"), c("l_suppkey")]).select("c_custkey", "l_suppkey", "n_dishes", "total")
 
 

@@ -185,3 +185,15 @@ def test_streams(spark, tmp_path):
     known = {(u, str(s)[:19], n) for u, s, n in zip(runs.user_id, runs.start, runs.n)}
     got = {(r.user_id, str(r.start)[:19], r.n) for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
     assert got and got <= known and len(got) >= len(known) * 0.9
+
+
+def test_week_broadcasts_no_growing_table(spark):
+    """Products and customers are merged, however small their files look."""
+    for name in ("q17_weekly_plan",):
+        lines, sent, at = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n"), [], None
+        for line in lines:
+            place = len(line) - len(line.lstrip(" :+-"))
+            at = None if at is not None and place <= at else at
+            at = place if at is None and line.lstrip(" :+-").startswith("BroadcastExchange") else at
+            sent += [line] if at is not None else []
+        assert sent and not [x for x in sent if "/part.parquet" in x or "/customer.parquet" in x]
