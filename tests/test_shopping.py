@@ -189,7 +189,7 @@ def test_streams(spark, tmp_path):
 
 def test_week_broadcasts_no_growing_table(spark):
     """Products and customers are merged, however small their files look."""
-    for name in ("q17_weekly_plan",):
+    for name in ("q17_weekly_plan", "q16_plan_store"):
         lines, sent, at = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n"), [], None
         for line in lines:
             place = len(line) - len(line.lstrip(" :+-"))
