@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from larder.functions.stemming import STOP_WORDS, stem
-from larder.operators import text_search
+from larder.operators import similarity, text_search
 
 DIR = "/root/testdata/sf0.001"
 #: Published examples of the algorithm.
@@ -169,3 +169,17 @@ def test_search_names(spark):
     q, n = (spark.createDataFrame([(x,) for x in [*s, None]], "x string") for s in (queries, names))
     got = {(r.query, r.name): r.score for r in text_search.search_names(q, "x", n, "x").collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in got)
+
+
+def test_jaccard_join_by_counts(spark):
+    """In any parts the pairs of a loop, and no rows for what frequent elements have in common."""
+    rng = random.Random(3)
+    sets = [{"the", *(f"e{int(rng.expovariate(0.1))}" for _ in range(rng.randint(0, 6)))} if i % 9 else set() for i in range(150)]
+    df = spark.createDataFrame([(f"k{i}", sorted(s)) for i, s in enumerate(sets)] + [("none", None), (None, ["the"])], "k string, s array<string>")
+    right = df.withColumnRenamed("k", "id")
+    want = {(f"k{i}", f"k{j}"): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if x & y and len(x & y) / len(x | y) >= 0.3}
+    for rows in (20_000, 40):
+        found = similarity.jaccard_join(df, "k", right, "id", "s", 0.3, rows)
+        got = found.collect()
+        assert len(got) == len(want) and {(r.k, r.id): r.similarity for r in got} == want
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
