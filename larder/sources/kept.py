@@ -54,10 +54,12 @@ def visible(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
 
 def bulk_load(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[Column], fault: Column, size: int = 500) -> DataFrame:
     """Takes rows in by batches of `size`, of rows with one key the first, and returns key, batch, status and error: inserted,
-    duplicate (the table has the key), or rejected with its fault. A row with a fault rejects itself and not its batch."""
-    first = numbered(top_per_group(rows, keys, order), [], order).withColumn("batch", F.floor((F.col("place") - 1) / size)).withColumn("error", fault)
-    first = stored(first.drop("place"))
-    good = append(spark, path, first.filter("error is null").select(rows.columns), keys, order)
-    done = _with_key(good.select(*keys, F.when(F.col("duplicate"), "duplicate").otherwise("inserted").alias("status")), keys, "__key").select("__key", "status")
-    out = _with_key(first, keys, "__key").join(done, "__key", "left")
-    return out.select(*keys, "batch", F.coalesce("status", F.lit("rejected")).alias("status"), "error")
+    duplicate (the table has the key), or rejected with its fault. A row with a fault rejects itself and not its batch. What
+    becomes of each row is written once, before the folder changes; the table and the answer are read from it."""
+    first = numbered(top_per_group(rows, keys, order), [], order).withColumn("batch", F.floor((F.col("place") - 1) / size)).withColumn("error", fault).drop("place")
+    old = read(spark, path, rows.schema).select(*[F.col(f"`{k}`").alias(f"__{n}") for n, k in enumerate(keys)], F.lit(True).alias("__known"))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__{n}")) for n, k in enumerate(keys)]
+    status = F.when(F.col("error").isNotNull(), "rejected").when(F.col("__known"), "duplicate").otherwise("inserted")
+    done = stored(first.join(old, same, "left").select(*[f"`{x}`" for x in rows.columns], "batch", status.alias("status"), "error"))
+    done.filter("status = 'inserted'").select(rows.columns).write.mode("append").parquet(path)
+    return done.select(*keys, "batch", "status", "error")

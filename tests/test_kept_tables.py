@@ -43,3 +43,16 @@ def test_bulk_load(spark, tmp_path):
     assert load() == [(i, i // 10, "rejected" if i in bad else "inserted", "zero" if i in bad else None) for i in range(25)]
     assert load() == [(i, i // 10, "rejected" if i in bad else "duplicate", "zero" if i in bad else None) for i in range(25)]
     assert kept.read(spark, path, rows.schema).count() == 25 - len(bad)
+
+
+def test_bulk_load_writes_once(spark, tmp_path, monkeypatch):
+    """Of the rows one copy is written beside the table, each time; null keys are keys, and a fault comes before a duplicate."""
+    written, write = [], kept.stored
+    monkeypatch.setattr(kept, "stored", lambda df: written.append(1) or write(df))
+    path, rows = str(tmp_path / "t"), table(spark, [(None, "x", 1), (1, None, 2), (1, "", 3), (2, "y", 0), (2, "y", 5)])
+    load = lambda fault: sorted(map(tuple, kept.bulk_load(spark, path, rows, ["k", "s"], [F.col("k"), F.col("s"), F.col("n")], fault, 2).collect()), key=str)
+    zero = F.when(F.col("n") == 0, "zero")
+    first = [(None, "x", 0, "inserted", None), (1, None, 0, "inserted", None), (1, "", 1, "inserted", None), (2, "y", 1, "rejected", "zero")]
+    assert load(zero) == sorted(first, key=str)
+    assert load(F.lit(None).cast("string")) == sorted([(*r[:3], "inserted" if r[4] else "duplicate", None) for r in first], key=str)
+    assert {r[3] for r in load(F.lit("all"))} == {"rejected"} and len(written) == 3
